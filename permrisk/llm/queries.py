@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permrisk.llm import decontaminate, language_id, pii, simhash
+from permrisk.llm import decontaminate, language_id, pii, sentencepiece_fst, simhash
 from permrisk.llm.common import table
 
 
@@ -26,11 +26,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op7_language_id": op7_language_id,
+    "op8_sentencepiece": op8_sentencepiece,
 }
 
 #: None of these can be said in SQL as a whole; their tests compare with brute force.
