@@ -160,3 +160,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = train(docs.where(fold(id_col, modulus) != held), text_col, lang_col)
     out = predict(docs.withColumn("held_out", F.coalesce(fold(id_col, modulus) == held, F.lit(False))), model, text_col, (id_col, "held_out"))
     return out.select(F.col(id_col), "held_out", "lang_pred", "score")
+
+
+def confident(docs: DataFrame, model: LanguageModel, text_col: str = "text", *, min_score: float = 0.5) -> DataFrame:
+    """The documents whose language is told with at least ``min_score``, all their columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts, keep = batch.column(at).to_pylist(), []
+            for lo, hi in slices([len(t or "") for t in texts], BATCH_CHARS):
+                best, prob = shared.value.score(texts[lo:hi])
+                keep += [b != UNDETERMINED and p >= min_score for b, p in zip(best, prob, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -180,6 +180,19 @@ def link_fingerprints(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _compare(b, threshold), "a bigint, b bigint")
 
 
+def _classes(marked: DataFrame, best: str, threshold: int) -> DataFrame:
+    """(fp, best): the least ``best`` of each component, for every distinct fingerprint."""
+    fps = marked.groupBy("fp").agg(F.expr(best).alias("low"))
+    roots = components(materialize(link_fingerprints(fps, threshold), "links"))
+    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return materialize(rooted.join(rooted.groupBy("root").agg(F.min("low").alias("best")), "root").select("fp", "best"), "classes")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    kind = docs.schema[id_col].dataType.simpleString()
+    return materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, f"id {kind}, fp bigint"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD) -> DataFrame:
     """One row a document: its id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -187,10 +200,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable over links, null only where
     the whole component has null ids. Repeated rows each return a row.
     """
-    marked = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, docs.select(F.col(id_col).alias("id")).schema.simpleString()[7:-1].replace(":", " ") + ", fp bigint"), "fp")
-    fps = marked.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = components(materialize(link_fingerprints(fps, threshold), "links"))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = materialize(rooted.join(low, "root").select("fp", "component_id"), "classes")
-    return marked.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    marked = _marked(docs, id_col, text_col)
+    classes = _classes(marked, "min(id)", threshold)
+    return marked.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD) -> DataFrame:
+    """One document of each component, all its columns as they were: the one of the smallest id, then text hash.
+
+    A row without an id stays only if its component has no row with one.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("id"), F.col(text_col).alias("text"))
+    marked = materialize(keyed.mapInArrow(_fingerprints, f"id struct<none:boolean,id:{kind},text:bigint>, fp bigint"), "fp")
+    kept = _classes(marked, "min(id)", threshold).select("best").distinct()
+    again = marked.join(kept, F.col("id") == F.col("best"), "left_semi").groupBy("id").count().where("count > 1")
+    names = docs.columns
+    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    out = docs.join(kept.withColumnRenamed("best", "__best"), own.eqNullSafe(F.col("__best")), "left_semi").select(*names)
+    if again.isEmpty():
+        return out
+    # repeated rows of one id and text: only now is their text worth a shuffle
+    return out.dropDuplicates([id_col, text_col])
