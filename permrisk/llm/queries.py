@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permrisk.llm import decontaminate, language_id, pii, sentencepiece_fst, simhash
+from permrisk.llm import decontaminate, language_id, pii, sentencepiece_fst, simhash, toxicity
 from permrisk.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_sentencepiece": op8_sentencepiece,
 }
