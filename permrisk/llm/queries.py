@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permrisk.llm import decontaminate, language_id, pii, sentencepiece_fst, simhash, toxicity
+from permrisk.llm import decontaminate, html_text, language_id, pii, sentencepiece_fst, simhash, toxicity
 from permrisk.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_benchmark_leaks": op2_benchmark_leaks,
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_html_text": op10_html_text,
 }
 
 #: None of these can be said in SQL as a whole; their tests compare with brute force.
