@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permrisk.llm import decontaminate, html_text, language_id, lattice, pii, sentencepiece_fst, simhash, suffix_dedup, toxicity
+from permrisk.llm import decontaminate, html_text, language_id, lattice, maxent_lm, pii, sentencepiece_fst, simhash, suffix_dedup, toxicity
 from permrisk.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_maxent_lm": op4_maxent_lm,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
