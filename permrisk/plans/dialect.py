@@ -88,7 +88,7 @@ class Spark:
 
     @staticmethod
     def seconds(a, b):
-        return f"(unix_micros(CAST({a} AS TIMESTAMP)) - unix_micros(CAST({b} AS TIMESTAMP))) / 1000000.0D"
+        return f"(unix_micros(CAST({a} AS TIMESTAMP)) - unix_micros(CAST({b} AS TIMESTAMP))) / 1000000.0"
 
     @staticmethod
     def month(d):

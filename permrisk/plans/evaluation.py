@@ -145,8 +145,7 @@ def temporal_split(d):
 
 def coverage_gate(d):
     names = ("by_right", "staff", "acres", "decided_on")
-    parts = " UNION ALL ".join(f"SELECT '{n}' AS feature, round(avg(CASE WHEN {n} IS NOT NULL THEN 1.0D ELSE 0.0D END), 6) AS coverage FROM application" for n in names)
-    parts = parts if d.name == "spark" else parts.replace("1.0D", "CAST(1 AS DOUBLE)").replace("0.0D", "CAST(0 AS DOUBLE)")
+    parts = " UNION ALL ".join(f"SELECT '{n}' AS feature, round(avg(CASE WHEN {n} IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM application" for n in names)
     return f"""
     WITH share AS ({parts}) SELECT feature, coverage, coverage >= 0.8 AS usable, CASE WHEN coverage < 0.8 THEN 'covers too few rows' END AS reason FROM share"""
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from permrisk.plans import evaluation, features, features_history
+from permrisk.plans import evaluation, features, features_history, ledger, monitor, score
 
 QUERIES: dict[str, tuple] = {}
-for _module in (features_history, features, evaluation):
+for _module in (features_history, features, evaluation, score, ledger, monitor):
     QUERIES |= _module.QUERIES
