@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from permrisk.plans import evaluation, features, features_history, ledger, monitor, score
+from permrisk.plans import evaluation, features, features_history, ledger, monitor, score, text
 
 QUERIES: dict[str, tuple] = {}
-for _module in (features_history, features, evaluation, score, ledger, monitor):
+for _module in (features_history, features, evaluation, score, ledger, monitor, text):
     QUERIES |= _module.QUERIES
