@@ -113,11 +113,11 @@ def _spread(batches, hot: dict[int, int], threshold: int):
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, anchor), len(keys) - 1)
                 n = np.where(keys[at] == anchor, parts[at], 1)
-                copies = np.where(home, 1, n)
-                part = np.where(home, (fp * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % n, 0)
-                again = np.repeat(np.arange(len(i)), copies)
-                step = np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)
-                anchor, fp, home, part = anchor[again], fp[again], home[again], part[again] + step
+                own = (fp * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % n
+                again = np.repeat(np.arange(len(i)), n)
+                part = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+                # at home in one part, a visitor in the others
+                anchor, fp, home = anchor[again], fp[again], home[again] & (part == own[again])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part << 24 | anchor, pa.int64()), pa.array(fp.view(np.int64), pa.int64()), pa.array(home, pa.bool_())], names=["anchor", "fp", "home"]
             )
