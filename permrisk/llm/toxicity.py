@@ -9,7 +9,8 @@ The lexicon is learned: its entries are beginnings of words, whole words among
 them. From a bounded sample of labelled rows (about ``MAX_ROWS``, picked by a
 hash of the id) the beginnings frequent in toxic documents are counted in both
 classes, and a greedy cover keeps the few that explain the toxic documents and
-are precise. An entry weighs its log odds. Phrases of an entry and the word
+are precise; a document has a beginning if it is as frequent in it as once in
+``DENSE`` words, so chance hits in long texts do not count. An entry weighs its log odds. Phrases of an entry and the word
 beside it that are seen in clean documents only are exceptions and count
 nothing. The sum of weights is divided by the number of stretches of
 ``STRETCH`` words begun and turned into a probability by a logistic fit.
@@ -41,6 +42,7 @@ MIN_SHARE = 0.005
 MIN_PRECISION = 0.9
 MAX_ENTRIES = 2_000
 STRETCH = 50
+DENSE = 150
 THRESHOLD = 0.7
 # fixed values: look-alike letters and the Latin letters they stand for
 _LOOKALIKES = {
@@ -77,12 +79,13 @@ def folded(text: str | None) -> list[str]:
 
 
 def beginnings(words: list[str]) -> set[str]:
-    """Beginnings of the words; a blank at the end of one says that the word ends there."""
-    out: set[str] = set()
-    for w in set(words):
+    """Beginnings of the words, as often as once in ``DENSE`` words; a blank at the end of one says that the word ends there."""
+    counts: Counter = Counter()
+    for w, n in Counter(words).items():
         w += " "
-        out.update(w[:n] for n in range(MIN_LENGTH, min(len(w), MAX_LENGTH) + 1))
-    return out
+        for k in range(MIN_LENGTH, min(len(w), MAX_LENGTH) + 1):
+            counts[w[:k]] += n
+    return {b for b, n in counts.items() if n * DENSE >= len(words)}
 
 
 @dataclass(frozen=True)
