@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from permrisk.plans import evaluation, features, features_history, ledger, models, monitor, quality, score, text
+from permrisk.plans import evaluation, features, features_history, ledger, models, monitor, quality, registry_queries, score, text
 from permrisk.streaming import changes
 
 QUERIES: dict[str, tuple] = {}
-for _module in (features_history, features, evaluation, score, ledger, monitor, text, quality, models, changes):
+for _module in (features_history, features, evaluation, score, ledger, monitor, text, quality, registry_queries, models, changes):
     QUERIES |= _module.QUERIES
