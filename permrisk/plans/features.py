@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permrisk.operators.asof import look_up, running
+from permrisk.operators.asof import look_up, moments, running
 from permrisk.plans.dialect import Oracle
-from permrisk.plans.features_history import horizon
 from permrisk.plans.graph import frame, query, statement
 
 
@@ -88,13 +87,14 @@ def opposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objections and decisions of the county in the 24 months before filing, as differences of running totals."""
     subjects = frame(spark, sf_dir, "application")
     facts = frame(spark, sf_dir, "objection")
-    until = horizon(subjects)
+    past_day = F.add_months("filed_on", -24)
+    asked = moments(subjects, ["county_id"], F.col("filed_on"), past_day)
     one = lambda c: F.when(c, 1).otherwise(0)
     sums = {"n": F.lit(1), "organised": one(F.col("organised"))} | {g: one(F.col("ground") == g) for g in GROUNDS}
-    voiced = running(facts, ["county_id"], "observed_on", sums, {}, until)
-    decided = running(subjects, ["county_id"], "decided_on", {"decisions": F.lit(1)}, {}, until)
+    voiced = running(facts, ["county_id"], "observed_on", sums, {}, asked)
+    decided = running(subjects, ["county_id"], "decided_on", {"decisions": F.lit(1)}, {}, asked)
     now = subjects.select("application_id", "county_id", "filed_on")
-    for prefix, at in (("", F.col("filed_on")), ("old_", F.add_months("filed_on", -24))):
+    for prefix, at in (("", F.col("filed_on")), ("old_", past_day)):
         now = look_up(now, voiced, ["county_id"], at, "observed_on", prefix, list(sums))
         now = look_up(now, decided, ["county_id"], at, "decided_on", prefix, ["decisions"])
     in_24 = {c: F.coalesce(c, F.lit(0)) - F.coalesce("old_" + c, F.lit(0)) for c in [*sums, "decisions"]}
@@ -128,14 +128,13 @@ def board(spark: SparkSession, sf_dir: str) -> DataFrame:
     A member's rate counts every position taken before the day; terms are closed at both ends.
     """
     subjects = frame(spark, sf_dir, "application")
-    until = horizon(subjects)
+    cell = ["county_id", "use_class"]
     votes = frame(spark, sf_dir, "vote").join(subjects.select("application_id", "decided_on"), "application_id")
-    state = running(votes, ["member_id"], "decided_on", {"n": F.lit(1), "ayes": F.when(F.col("vote_position") == "for", 1).otherwise(0)}, {}, until)
-    latest = running(subjects, ["county_id", "use_class"], "decided_on", {}, {"last": F.max("decided_on")}, until)
-    moments = subjects.select("county_id", "use_class", F.col("filed_on").alias("t")).distinct()
-    moments = look_up(moments, latest, ["county_id", "use_class"], F.col("t"), "decided_on", "", ["last"])
+    latest = running(subjects, cell, "decided_on", {}, {"last": F.max("decided_on")}, moments(subjects, cell, F.col("filed_on")))
+    dated = look_up(subjects.select(*cell, F.col("filed_on").alias("t")).distinct(), latest, cell, F.col("t"), "decided_on", "", ["last"])
     members = frame(spark, sf_dir, "member").select("member_id", F.col("county_id").alias("body_id"), "term_start", "term_end")
-    sitting = moments.join(members, (F.col("county_id") == F.col("body_id")) & (F.col("term_start") <= F.col("t")) & (F.col("term_end").isNull() | (F.col("term_end") >= F.col("t"))))
+    sitting = dated.join(members, (F.col("county_id") == F.col("body_id")) & (F.col("term_start") <= F.col("t")) & (F.col("term_end").isNull() | (F.col("term_end") >= F.col("t"))))
+    state = running(votes, ["member_id"], "decided_on", {"n": F.lit(1), "ayes": F.when(F.col("vote_position") == "for", 1).otherwise(0)}, {}, moments(sitting, ["member_id"], F.col("t")))
     seen = look_up(sitting, state, ["member_id"], F.col("t"), "decided_on", "", ["n", "ayes"])
     rate = F.try_divide("ayes", "n")
     boards = seen.groupBy("county_id", "use_class", "t").agg(

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from permrisk.functions import text as T
-from permrisk.operators.asof import look_up, running
+from permrisk.operators.asof import look_up, moments, running
 from permrisk.plans import ledger, models, quality
 
 
@@ -15,11 +15,11 @@ def test_running_state_cannot_see_the_day_or_what_follows(spark):
     subjects = spark.createDataFrame([(1, "a", day(1)), (2, "a", day(3)), (3, "a", day(9)), (4, "c", day(9)), (5, None, day(9))], "id int, k string, t date")
 
     def totals(rows):
-        state = running(rows, ["k"], "d", {"x": F.col("x")}, {"last": F.max("d")}, F.lit(day(9)))
+        state = running(rows, ["k"], "d", {"x": F.col("x")}, {"last": F.max("d")}, moments(subjects, ["k"], F.col("t")))
         return {r.id: (r.x, r.last) for r in look_up(subjects, state, ["k"], F.col("t"), "d", "", ["x", "last"]).collect()}
 
     before = totals(facts)
-    assert before == {1: (0, None), 2: (1, day(1)), 3: (3, day(3)), 4: (None, None), 5: (None, None)}
+    assert before == {1: (0, None), 2: (1, day(1)), 3: (3, day(3)), 4: (0, None), 5: (None, None)}
     later = spark.createDataFrame([("a", dt.date(2025, 1, 1), 100), ("c", dt.date(2025, 1, 1), 100)], "k string, d date, x int")
     assert totals(facts.unionByName(later)) == before
 
