@@ -118,13 +118,26 @@ def quotes(d):
 
 def elided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes with gaps: the parts in order, each behind the one before, at most 400 characters apart; no second try."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.concat(F.substring("text", 5, 25), F.lit("..."), F.substring("text", 80, 25), F.lit("..."), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 700, 25)).otherwise(F.substring("text", 120, 20))).alias("quote"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.concat(F.substring("text", 5, 25), F.lit(" ... "), F.substring("text", 80, 25), F.lit(" ... "), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 700, 25)).otherwise(F.substring("text", 120, 20))).alias("quote"))
     parts = F.filter(F.transform(F.split("quote", r"\.\.\."), lambda p: F.trim(p)), lambda p: p != "")
     state = F.expr("""aggregate(parts, struct(0 AS at, true AS ok), (s, p) -> named_struct('at', CASE WHEN s.ok AND locate(p, text, s.at + 1) > 0 THEN CAST(locate(p, text, s.at + 1) + length(p) - 1 AS INT) ELSE s.at END,
         'ok', s.ok AND locate(p, text, s.at + 1) > 0 AND (s.at = 0 OR locate(p, text, s.at + 1) - 1 - s.at <= 400)), s -> s.ok)""")
     return d.withColumn("parts", parts).select("doc_id", F.size("parts").alias("n_parts"), (state & (F.size("parts") > 0)).alias("verified"))
 
 
+def _step(n, part):
+    """One part of an elided quote in the oracle: where it ends, and whether all is well so far."""
+    q = f"instr(substring(text, at{n} + 1), {part})"
+    return f"""s{n + 1} AS (SELECT *, CASE WHEN {part} = '' OR NOT ok{n} OR {q} = 0 THEN at{n} ELSE at{n} + {q} + length({part}) - 1 END AS at{n + 1},
+           ok{n} AND ({part} = '' OR ({q} > 0 AND (at{n} = 0 OR {q} - 1 <= 400))) AS ok{n + 1} FROM s{n})"""
+
+
+ELIDED_SQL = f"""
+    WITH s0 AS (SELECT doc_id, text, trim(substring(text, 5, 25), ' ') AS f1, trim(substring(text, 80, 25), ' ') AS f2, trim(CASE WHEN doc_id % 3 = 0 THEN substring(text, 700, 25) ELSE substring(text, 120, 20) END, ' ') AS f3, 0 AS at0, true AS ok0 FROM documents),
+    {_step(0, 'f1')}, {_step(1, 'f2')}, {_step(2, 'f3')}
+    SELECT doc_id, CAST(CASE WHEN f1 <> '' THEN 1 ELSE 0 END + CASE WHEN f2 <> '' THEN 1 ELSE 0 END + CASE WHEN f3 <> '' THEN 1 ELSE 0 END AS INT) AS n_parts, ok3 AND (f1 <> '' OR f2 <> '' OR f3 <> '') AS verified FROM s3"""
+
+
 def transcript(d):
     """Turns as segments: offsets, times, the item on the table (the last turn of a user before it)."""
     return f"""
@@ -237,6 +250,6 @@ CALENDAR_SQL = statement("""
     SELECT county_id, year, held_on, CAST(held_on - 120 AS DATE) AS filing_deadline FROM h""", Oracle)
 
 QUERIES = {
-    "text_normalised": (normalised, NORMALISED_SQL), "text_names": (names, NAMES_SQL), "text_legibility": (legibility, LEGIBILITY_SQL), "text_segments": (segments, SEGMENTS_SQL), "text_elided_quotes": (elided, None),
+    "text_normalised": (normalised, NORMALISED_SQL), "text_names": (names, NAMES_SQL), "text_legibility": (legibility, LEGIBILITY_SQL), "text_segments": (segments, SEGMENTS_SQL), "text_elided_quotes": (elided, ELIDED_SQL),
     "similar_names": (similar_names, SIMILAR_SQL), "election_calendar": (calendar, CALENDAR_SQL),
 } | {f"text_{f.__name__}": query(f) for f in (quotes, transcript, windows, platforms, content_store)} | {f.__name__: query(f) for f in (clusters, member_terms)} | {f"geo_{f.__name__}": query(f) for f in (locate, nearest, tiles)}
