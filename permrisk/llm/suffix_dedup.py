@@ -38,7 +38,7 @@ GRAM = 32
 SPAN = LENGTH - GRAM
 #: grams in a string of LENGTH bytes
 WINDOW = SPAN + 1
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 FAMILY_BATCH = 4096
 FAMILY_ROWS = 1 << 15
 BASE = 0x9E3779B97F4A7C15
@@ -117,9 +117,22 @@ def _anchored(batches):
             found = anchors(texts[lo:hi])
             if found is not None:
                 who, place, front, behind, gram, around = found
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in (gram.view(np.int64), around.view(np.int64), key[lo:hi][who], size[lo:hi][who], place << 16 | front << 8 | behind)], names=["gram", "around", "key", "size", "at"]
-                )
+                gram, around, times = _met_here(gram, around)
+                columns = (gram.view(np.int64), around.view(np.int64), key[lo:hi][who], size[lo:hi][who], place << 16 | front << 8 | behind, times)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["gram", "around", "key", "size", "at", "times"])
+
+
+def _met_here(gram: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Settle surroundings that occur several times in one batch before they are dealt out.
+
+    One of them stands for all, with their number. The others are known to be
+    repeated; they get a gram of their own, so that no frequent gram gathers them.
+    """
+    _, first, at, count = np.unique(mix(gram) + around, return_index=True, return_inverse=True, return_counts=True)
+    stands = np.zeros(len(gram), dtype=bool)
+    stands[first] = True
+    lone = mix(gram + around + np.arange(len(gram), dtype=np.uint64) * np.uint64(BASE))
+    return np.where(stands, gram, lone), np.where(stands, around, np.uint64(0)), np.where(stands, count[at], 2)
 
 
 def _whole_groups(batches, column: str):
@@ -148,7 +161,7 @@ def _sort_out(batches):
         new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
         new_run = new_gram | np.concatenate([[True], around[1:] != around[:-1]])
         run, group = np.cumsum(new_run) - 1, np.cumsum(new_gram) - 1
-        times = np.bincount(run)[run]
+        times = np.bincount(run, weights=table["times"].to_numpy())[run]
         variants = np.bincount(group[new_run], minlength=group[-1] + 1)[group]
         sort = np.where(times > 1, np.where((variants > 1) & new_run, WITNESS, WHOLE), np.where(variants > 1, COMPARE, -1))
         keep = sort >= 0
@@ -317,7 +330,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, n_spans, kept_sha256, removed byte ranges) of every document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("bigint").alias("size"))
-    found = rows.where(F.col("size") >= LENGTH).select("key", "size", "text").mapInArrow(_anchored, "gram bigint, around bigint, key bigint, size bigint, at bigint")
+    found = rows.where(F.col("size") >= LENGTH).select("key", "size", "text").mapInArrow(_anchored, "gram bigint, around bigint, key bigint, size bigint, at bigint, times bigint")
     sorted_out = found.repartition("gram").sortWithinPartitions("gram", "around").mapInArrow(_sort_out, "gram bigint, key bigint, size bigint, at bigint, sort int")
     marks = materialize(sorted_out, "anchors")
     places = marks.where(F.col("sort") != WHOLE).groupBy("key", "size").agg(F.collect_list(F.struct("gram", "at", "sort")).alias("places"))
