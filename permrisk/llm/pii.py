@@ -143,12 +143,39 @@ def _followers(text: str, patterns: dict[str, tuple[str, ...]]):
         before = key
 
 
+def _plain(text: str) -> bool:
+    """No form and no compatible value can be in such a text."""
+    return "@" not in text and text.count(":") < 3 and not _DIGIT.search(text)
+
+
+def _ordinary(text: str, by_last: dict[str, dict[str, tuple[str, tuple[str, ...]]]], rows: Counter) -> None:
+    """Count what follows each pattern in a plain text: words, none of them an identifier."""
+    before, get = "", by_last.get
+    words = _TOKEN.findall(text.lower())
+    for word in words[:-1]:  # nothing follows the last one
+        key = word if len(word) <= _TAIL else word[-_TAIL:]
+        found = get(key)
+        if found is not None:
+            for one in (found.get(""), found.get(before)) if before else (found.get(""),):
+                if one is not None:
+                    for kind in one[1]:
+                        rows[kind, one[0], ""] += 1
+        before = key
+
+
 def _observed(batches, patterns: dict[str, tuple[str, ...]]):
+    by_last: dict[str, dict[str, tuple[str, tuple[str, ...]]]] = {}
+    for pattern, kinds in patterns.items():
+        first, _, last = pattern.rpartition(" ")
+        by_last.setdefault(last, {})[first] = (pattern, kinds)
     for batch in batches:
         rows: Counter = Counter()
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
+            if _plain(text):
+                _ordinary(text, by_last, rows)
+                continue
             starts = {(k, a): text[a : min(b, a + 64)] for k, a, b in base_spans(text)}
             for pattern, kinds, a, b in _followers(text, patterns):
                 value = text[a : min(b, a + 64)]
