@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permrisk.plans.dialect import Oracle
 from permrisk.plans.graph import query, statement
+from permrisk.sources.scratch import fresh
 
 GENESIS = "0" * 64
-LEDGER_ROWS = 1000
+BATCH_ENTRIES = 1 << 16
 
 
 def _payloads(d):
@@ -17,26 +21,45 @@ def _payloads(d):
     return f"""
     SELECT application_id AS seq, filed_on AS published_on, outcome, decided_on, p1000,
            '{{"application":' || CAST(application_id AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) || ',"probability_per_mille":' || CAST(p1000 AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) || ',"use":"' || use_class || '"}}' AS payload
-    FROM (SELECT *, (application_id * 37 + 11) % 1001 AS p1000 FROM application WHERE application_id < {LEDGER_ROWS}) a"""
+    FROM (SELECT *, (application_id * 37 + 11) % 1001 AS p1000 FROM application) a"""
 
 
-def chain(entries: DataFrame, seq: str = "seq", payload: str = "payload", genesis: str = GENESIS) -> DataFrame:
-    """Append entries to a chain: each hash covers the one before, so this is one ordered fold.
+def _linked(batches, prev: str):
+    """Entry hashes of rows in order, from the hash before the first of them."""
+    for batch in batches:
+        before, after = [], []
+        for payload_hash in batch.column("payload_hash").to_pylist():
+            before.append(prev)
+            prev = hashlib.sha256((prev + payload_hash).encode()).hexdigest()
+            after.append(prev)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*batch.schema.names, "prev_hash", "entry_hash"])
 
-    Building is sequential by definition and made for one batch of new entries;
-    checking (:func:`verified`) is local to neighbouring rows and parallel.
-    """
-    hashed = entries.withColumn("payload_hash", F.sha2(payload, 256))
-    batch = hashed.agg(F.array_sort(F.collect_list(F.struct(seq, payload, "payload_hash"))).alias("e"))
-    empty = F.array().cast(f"array<struct<{seq}:bigint,payload:string,payload_hash:string,prev_hash:string,entry_hash:string>>")
-    start = F.struct(F.lit(genesis).alias("prev"), empty.alias("done"))
 
-    def add(state, e):
-        link = F.sha2(F.concat(state.prev, e.payload_hash), 256)
-        row = F.struct(e[seq].cast("bigint").alias(seq), e[payload].alias("payload"), e.payload_hash.alias("payload_hash"), state.prev.alias("prev_hash"), link.alias("entry_hash"))
-        return F.struct(link.alias("prev"), F.concat(state.done, F.array(row)).alias("done"))
+def chain(entries: DataFrame, seq: str = "seq", payload: str = "payload", genesis: str = GENESIS, *, batch: int = BATCH_ENTRIES) -> DataFrame:
+    """Append entries to a chain: each hash covers the one before, so this is one ordered fold.
 
-    return batch.select(F.explode(F.aggregate("e", start, add, lambda s: s.done)).alias("r")).select("r.*")
+    The entries are cut by number into batches of about ``batch``; one task at a time sorts
+    a batch and streams it from the last hash of the batch before, so no task or driver holds more.
+    Checking (:func:`verified`) is local to neighbouring rows and parallel.
+    """
+    spark = entries.sparkSession
+    hashed = entries.select(F.col(seq).cast("bigint").alias(seq), F.col(payload).alias("payload"), F.sha2(payload, 256).alias("payload_hash"))
+    schema = f"`{seq}` bigint, payload string, payload_hash string, prev_hash string, entry_hash string"
+    n = -(-hashed.count() // batch)
+    if not n:
+        return spark.createDataFrame([], schema)
+    cuts = sorted(set(hashed.agg(F.percentile_approx(seq, [k / n for k in range(1, n)])).first()[0])) if n > 1 else []
+    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(seq))) if cuts else F.lit(0)
+    cut, path = fresh(spark, "ledger-batches"), fresh(spark, "ledger")
+    hashed.withColumn("batch", number).write.partitionBy("batch").parquet(cut)
+    stored = spark.read.schema(f"`{seq}` bigint, payload string, payload_hash string, batch int").parquet(cut)
+    prev = genesis
+    for k in range(len(cuts) + 1):
+        part = stored.where(F.col("batch") == k).drop("batch").coalesce(1).sortWithinPartitions(seq, "payload")
+        part.mapInArrow(lambda b, prev=prev: _linked(b, prev), schema).write.parquet(f"{path}/{k:09d}")
+        last = spark.read.schema(schema).parquet(f"{path}/{k:09d}").agg(F.max_by("entry_hash", F.struct(seq, "payload"))).first()[0]
+        prev = last or prev
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def verified(ledger: DataFrame, issued: int | None = None, first: int = 0, seq: str = "seq") -> DataFrame:
@@ -83,9 +106,10 @@ def ledger_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payload edited and the last entry dropped: the first shows as a break, the second against the number issued."""
-    ledger = _ledger(spark, sf_dir).where(F.col("seq") < LEDGER_ROWS - 1)
-    edited = ledger.withColumn("payload", F.when(F.col("seq") == 500, F.lit("{}")).otherwise(F.col("payload")))
-    return verified(edited, LEDGER_ROWS - 1)
+    ledger = _ledger(spark, sf_dir)
+    issued = ledger.agg(F.max("seq")).first()[0]
+    edited = ledger.where(F.col("seq") < issued).withColumn("payload", F.when(F.col("seq") == 500, F.lit("{}")).otherwise(F.col("payload")))
+    return verified(edited, issued)
 
 
 def grades(d):
@@ -130,5 +154,5 @@ def resolvable(d):
 QUERIES = {
     "ledger_chain": (ledger_chain, _oracle("SELECT seq, payload_hash, prev_hash, entry_hash FROM chained")),
     "ledger_verify": (ledger_verify, _oracle("SELECT count(*) AS entries, CAST(NULL AS BIGINT) AS first_break, CAST(0 AS BIGINT) AS broken, max(seq) AS issued, true AS complete FROM chained")),
-    "ledger_tampered": (ledger_tampered, _oracle(f"SELECT count(*) AS entries, CAST(500 AS BIGINT) AS first_break, CAST(1 AS BIGINT) AS broken, {LEDGER_ROWS - 1} AS issued, false AS complete FROM chained WHERE seq < {LEDGER_ROWS - 1}")),
+    "ledger_tampered": (ledger_tampered, _oracle("SELECT count(*) - 1 AS entries, CAST(500 AS BIGINT) AS first_break, CAST(1 AS BIGINT) AS broken, max(seq) AS issued, false AS complete FROM chained")),
 } | {f"ledger_{f.__name__}": query(f) for f in (grades, public_record, daily_digest, export_slice, resolvable)}

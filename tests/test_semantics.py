@@ -1,6 +1,7 @@
 """Closed forms, leakage, tampering and odd input."""
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -71,6 +72,30 @@ def test_ledger_shows_edits_relinks_and_losses(spark):
     assert check(made.limit(0)).entries == 0
 
 
+def test_ledger_chain_in_batches_is_one_chain(spark):
+    made = ledger.chain(spark.createDataFrame([(i, f'{{"i":{i}}}') for i in reversed(range(50))], "seq bigint, payload string").repartition(5), batch=7)
+    prev = ledger.GENESIS
+    rows = sorted(made.collect())
+    assert [r.seq for r in rows] == list(range(50))
+    for r in rows:
+        assert r.payload_hash == hashlib.sha256(r.payload.encode()).hexdigest() and r.prev_hash == prev
+        prev = hashlib.sha256((prev + r.payload_hash).encode()).hexdigest()
+        assert r.entry_hash == prev
+    assert ledger.chain(spark.createDataFrame([], "seq bigint, payload string")).count() == 0
+
+
+def test_ledger_queries_take_all_applications(spark, sf):
+    from permrisk.plans.registry import QUERIES
+
+    applications = spark.read.parquet(f"{sf}/orders.parquet").count()
+    run = lambda name: QUERIES[f"ledger_{name}"][0](spark, sf)
+    assert applications > 1000
+    assert run("chain").count() == run("verify").first().entries == run("public_record").first().published == applications
+    assert run("tampered").first().entries == applications - 1
+    assert sum(r.n for r in run("daily_digest").collect()) == applications
+    assert run("grades").agg(F.max("seq")).first()[0] >= 1000 and run("resolvable").agg(F.max("seq")).first()[0] >= 1000
+
+
 def test_upsert_and_insert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "d"), (None, "m")], "k int, v string")
