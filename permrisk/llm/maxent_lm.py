@@ -7,14 +7,15 @@ dictionary grows with the corpus, and no frequent word is a hot join key.
 
 The model factors a token into its class and its place in the class. The
 ``WORDS`` most frequent tokens, the end of a text among them, make classes of
-``PER_CLASS`` by frequency; one more class holds all other words, which have
-add-one probabilities inside it. Class and place are softmaxes over hashed
-features: the word before, the two before, and skips over one or two words.
-Biases start at the counts. Each round, tasks take minibatch gradient steps
-(Adagrad) from the broadcast weights on their share of one in ``SHARE``
-training documents, another one each round, and the weights are averaged by
-tokens, block by block, on the executors. Scoring is a sparse gather and a
-dense softmax in numpy batches.
+``PER_CLASS`` by frequency; one more class holds all other words. In it, the
+rest of the ``HOT_WORDS`` are found by group, block and place, and the last
+group holds the words outside the list, which have add-one probabilities. All
+of these are softmaxes over hashed features: the word before, the two before,
+and skips over one or two words. Biases start at the counts. Each round, tasks
+take minibatch gradient steps (Adagrad) from the broadcast weights on another
+share of the training documents, all of them by the last round, and the weights
+are averaged by tokens, block by block, on the executors. Scoring is a sparse
+gather and a dense softmax in numpy batches.
 
 A null text is an empty one: its only token is the end. Null ids are scored and
 never trained on. Without training documents counts are zero and the model
@@ -38,11 +39,13 @@ HOT_WORDS, HOT_BYTES = 1 << 16, 64
 WORDS, PER_CLASS = 1024, 32
 CLASSES = WORDS // PER_CLASS + 1
 OTHER = CLASSES - 1
+BLOCKS = (HOT_WORDS - WORDS) // PER_CLASS
+GROUPS = BLOCKS // PER_CLASS + 1
 HASHED = 1024
 CONTEXTS = WORDS + HASHED + 1
 START = CONTEXTS - 1
 PAIRS, INSIDE = 1 << 13, 1 << 13
-ROUNDS, SHARE, STEP, BATCH = 3, 12, 0.15, 4096
+ROUNDS, STEP, BATCH = 3, 0.15, 4096
 TOKENS_AT_ONCE = 1 << 15
 BATCH_CHARS = 1 << 21
 COUNTED_AT_ONCE = 1 << 18
@@ -80,7 +83,8 @@ class Vocabulary:
         n = min(WORDS, len(self.count))
         self.inside = n
         self.other_total = self.total - int(self.count[:n].sum())
-        self.other_distinct = self.distinct - n
+        self.rest_total = self.total - int(self.count.sum())
+        self.rest_distinct = self.distinct - len(self.count)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Rank of each token; a word without one gets minus one minus its hash."""
@@ -99,7 +103,7 @@ def _hashed(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
 
 
 class Model:
-    """Weights of all features, as one table for the classes and one for the places."""
+    """Weights of all features: tables for the classes and places, and for the groups, blocks and places of the words beyond."""
 
     BASES = np.cumsum([0, CONTEXTS, PAIRS, CONTEXTS, CONTEXTS])
     ROWS = CONTEXTS * 3 + PAIRS * 2 + 1
@@ -112,6 +116,22 @@ class Model:
         grid = count.reshape(-1, PER_CLASS)
         self.of_class[-1] = np.log(np.concatenate([grid.sum(axis=1), [vocabulary.other_total]]) + 0.5)
         self.of_place[2 * INSIDE : -1] = np.log(grid + 1e-3)
+        beyond = np.zeros(BLOCKS * PER_CLASS)
+        beyond[: len(vocabulary.count) - vocabulary.inside] = vocabulary.count[vocabulary.inside :]
+        words = beyond.reshape(-1, PER_CLASS)
+        blocks = words.sum(axis=1).reshape(-1, PER_CLASS)
+        self.of_group = np.zeros((2 * INSIDE + 1, GROUPS), dtype=np.float32)
+        self.of_block = np.zeros((2 * INSIDE + GROUPS - 1, PER_CLASS), dtype=np.float32)
+        self.of_word = np.zeros((2 * INSIDE + BLOCKS, PER_CLASS), dtype=np.float32)
+        self.of_group[-1] = np.log(np.concatenate([blocks.sum(axis=1), [vocabulary.rest_total]]) + 0.5)
+        self.of_block[2 * INSIDE :] = np.log(blocks + 1e-3)
+        self.of_word[2 * INSIDE :] = np.log(words + 1e-3)
+
+    @classmethod
+    def of(cls, blocks):
+        model = cls.__new__(cls)
+        model.of_class, model.of_place, model.of_group, model.of_block, model.of_word = blocks
+        return model
 
     def rows(self, one, two, three):
         return np.stack([one, _hashed(one, two, PAIRS) + self.BASES[1], two + self.BASES[2], three + self.BASES[3], _hashed(one, three, PAIRS) + self.BASES[4]])
@@ -137,8 +157,25 @@ class Model:
             out[known] += _picked(y, ids[known] % PER_CLASS)
         return out
 
+    def log_beyond(self, ids, one, two):
+        """Natural log of P(group | other) times, for the words of the list, P(block | group) and P(place | block)."""
+        group, block = beyond(ids)
+        out = _picked(self.logits(self.of_group, self.place_rows(one, two, np.zeros_like(ids))), group)
+        hot = np.flatnonzero(ids >= 0)
+        if len(hot):
+            one, two, group, block = one[hot], two[hot], group[hot], block[hot]
+            out[hot] += _picked(self.logits(self.of_block, self.place_rows(one, two, group)), block % PER_CLASS)
+            out[hot] += _picked(self.logits(self.of_word, self.place_rows(one, two, block)), ids[hot] % PER_CLASS)
+        return out
+
     def blocks(self):
-        return [self.of_class, self.of_place]
+        return [self.of_class, self.of_place, self.of_group, self.of_block, self.of_word]
+
+
+def beyond(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group and block of words beyond the classes; words outside the list are the last group."""
+    block = np.maximum(ids - WORDS, 0) // PER_CLASS
+    return np.where(ids < 0, GROUPS - 1, block // PER_CLASS), block
 
 
 def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -164,7 +201,7 @@ def _positions(vocabulary: Vocabulary, texts: list):
 
 def _scatter(table, sums, rows, gradient):
     """One Adagrad step on the rows of a table."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # tables have fewer rows than that
     sorted_rows = rows[order]
     start = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
     g = np.add.reduceat(gradient[order], start, axis=0)
@@ -173,10 +210,17 @@ def _scatter(table, sums, rows, gradient):
     table[at] -= STEP * g / np.sqrt(sums[at] + 1e-2)
 
 
+def _learn(model, table, sums, rows, target):
+    """One step towards the target of each token."""
+    g = _softmax(model.logits(table, rows))
+    g[np.arange(len(g)), target] -= 1
+    for r in rows:
+        _scatter(table, sums, r, g)
+
+
 def _steps(batches, vocabulary: Vocabulary, weights):
     """Weights after this task's steps, as blocks of bytes with the number of tokens."""
-    model = Model.__new__(Model)
-    model.of_class, model.of_place = (w.copy() for w in weights)
+    model = Model.of([w.copy() for w in weights])
     sums = [np.zeros_like(w) for w in weights]
     seen = 0
     for batch in batches:
@@ -194,11 +238,16 @@ def _steps(batches, vocabulary: Vocabulary, weights):
                     _scatter(model.of_class, sums[0], r, g)
                 known = np.flatnonzero(cls != OTHER)
                 if len(known):
-                    rows = model.place_rows(one[known], two[known], cls[known])
-                    g = _softmax(model.logits(model.of_place, rows))
-                    g[np.arange(len(g)), ids[known] % PER_CLASS] -= 1
-                    for r in rows:
-                        _scatter(model.of_place, sums[1], r, g)
+                    _learn(model, model.of_place, sums[1], model.place_rows(one[known], two[known], cls[known]), ids[known] % PER_CLASS)
+                other = np.flatnonzero(cls == OTHER)
+                if len(other):
+                    group, block = beyond(ids[other])
+                    _learn(model, model.of_group, sums[2], model.place_rows(one[other], two[other], np.zeros_like(other)), group)
+                    hot = group < GROUPS - 1
+                    other, group, block = other[hot], group[hot], block[hot]
+                if len(other):
+                    _learn(model, model.of_block, sums[3], model.place_rows(one[other], two[other], group), block % PER_CLASS)
+                    _learn(model, model.of_word, sums[4], model.place_rows(one[other], two[other], block), ids[other] % PER_CLASS)
                 seen += len(ids)
     if seen:
         parts = [(k, lo, w[lo : lo + 4096]) for k, w in enumerate(model.blocks()) for lo in range(0, len(w), 4096)]
@@ -226,14 +275,14 @@ def _average(batches):
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([weight[k] for k in keys], pa.int64()), pa.array([(total[k] / weight[k]).astype("<f4").tobytes() for k in keys], pa.binary())], names=["block", "n", "w"])
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, *, rounds: int = ROUNDS, share: int = SHARE) -> Model:
-    """Fit on the texts of ``docs`` (columns key, text)."""
+def train(docs: DataFrame, vocabulary: Vocabulary, *, rounds: int = ROUNDS) -> Model:
+    """Fit on the texts of ``docs`` (columns key, text), each of them in one of the rounds."""
     spark = docs.sparkSession
     model = Model(vocabulary)
     tasks = max(12, docs.rdd.getNumPartitions() // 8)
     for r in range(rounds):
         weights = spark.sparkContext.broadcast((vocabulary, model.blocks()))
-        part = docs.where(F.pmod(F.xxhash64("key"), F.lit(share)) == r).select("text").coalesce(tasks)
+        part = docs.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == r).select("text").coalesce(tasks)
         steps = part.mapInArrow(lambda b, w=weights: _steps(b, *w.value), "block bigint, n bigint, w binary")
         # the weights have a fixed size, so have the blocks that come back
         for row in steps.repartition("block").mapInArrow(_average, "block bigint, n bigint, w binary").collect():
@@ -246,11 +295,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary, *, rounds: int = ROUNDS, shar
 
 
 def _scored(batches, vocabulary: Vocabulary, weights):
-    model = Model.__new__(Model)
-    model.of_class, model.of_place = weights
+    model = Model.of(weights)
     count = np.log10(vocabulary.count + 1.0)
     blank = not len(vocabulary.count)
-    log_other = np.log10(max(1, vocabulary.other_total + vocabulary.other_distinct + 1))
+    log_rest = np.log10(max(1, vocabulary.rest_total + vocabulary.rest_distinct + 1))
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for lo, hi in slices([len(t or "") for t in texts], BATCH_CHARS):
@@ -260,10 +308,13 @@ def _scored(batches, vocabulary: Vocabulary, weights):
                 for s in range(0, len(ids), TOKENS_AT_ONCE):
                     cut = slice(s, s + TOKENS_AT_ONCE)
                     p[cut] = model.log_probability(ids[cut], one[cut], two[cut], three[cut])
+                    other = s + np.flatnonzero((ids[cut] < 0) | (ids[cut] >= WORDS))
+                    if len(other):
+                        p[other] += model.log_beyond(ids[other], one[other], two[other])
                 p /= np.log(10)
             hot = ids >= 0
             base = np.where(hot, count[np.maximum(ids, 0)] if not blank else 0.0, 0.0)
-            p += np.where(hot & (ids >= WORDS), base - log_other, np.where(hot, 0.0, -log_other))
+            p += np.where(hot, 0.0, -log_rest)
             start = np.cumsum(sizes) - sizes
             rare: list[list[dict]] = []
             flags = hot.tolist()

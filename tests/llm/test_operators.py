@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from permrisk.llm import components, decontaminate, html_text, language_id, lattice, maxent_lm, pii, sentencepiece_fst, simhash, suffix_dedup, toxicity
 from permrisk.llm.common import table
@@ -222,6 +223,31 @@ def test_lm_classes_are_a_distribution():
     assert abs(np.exp(model.log_probability(ids, at(3), at(5), at(9))).sum() - 1) < 1e-4
 
 
+def test_lm_words_beyond_the_classes_are_a_distribution():
+    n = maxent_lm.HOT_WORDS
+    voc = maxent_lm.Vocabulary({f"w{i}".encode(): i for i in range(n)}, np.arange(n, 0, -1), 5_000_000_000, 2 * n)
+    model = maxent_lm.Model(voc)
+    rng = np.random.default_rng(0)
+    for table in model.blocks():
+        table += rng.normal(size=table.shape).astype(np.float32)
+    ids = np.concatenate([np.arange(maxent_lm.WORDS, n), [-1]])
+    at = lambda x: np.full(len(ids), x)
+    assert abs(np.exp(model.log_beyond(ids, at(3), at(5))).sum() - 1) < 1e-4
+
+
+def test_lm_trains_on_every_document_and_every_frequent_word(spark):
+    keyed = spark.range(40).select(F.col("id").alias("key"), F.pmod(F.xxhash64("id"), F.lit(12)).alias("r"))
+    key = keyed.where("r > 2").agg(F.min("key")).first()[0]
+    n = 3000
+    voc = maxent_lm.Vocabulary({f"w{i}".encode(): i for i in range(n)}, np.arange(n, 0, -1), 5_000_000, n)
+    docs = spark.createDataFrame([(key, "w1 w2000 w2 w2000")], "key bigint, text string")
+    before, after = maxent_lm.Model(voc), maxent_lm.train(docs, voc)
+    assert all((a != b).any() for a, b in zip(before.blocks(), after.blocks(), strict=True))
+    start, one = np.full(1, maxent_lm.START), np.array([1])
+    gain = lambda i: (after.log_beyond(np.array([i]), one, start) - before.log_beyond(np.array([i]), one, start))[0]
+    assert gain(2000) > 0.01 > gain(2500)
+
+
 # 5
 def repeats(rows, size=200):
     data = [(t or "").encode() for _, t in rows]
