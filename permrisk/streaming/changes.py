@@ -6,6 +6,8 @@ with its batch form; the same transformations run continuously on a live source.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +15,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from permrisk.sources.scratch import fresh
 
+FILES_A_TRIGGER = 4
 CAPACITY, REFILL_A_HOUR = 5.0, 1.0
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_A_TRIGGER).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _span(spark: SparkSession, sf_dir: str, least: int) -> str:
+    """A watermark's delay in seconds: the time the table covers, so that files in any order are never late, and ``least`` at least."""
+    a, b = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").cast("double").alias("t")).agg(F.min("t"), F.max("t")).first()
+    return f"{least if a is None else max(least, math.ceil(b - a) + 1)} seconds"
 
 
 def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -35,11 +44,11 @@ def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
 
 def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and their value by hour and type; ten minutes late is late enough to close an hour, the last stays open."""
-    stream = _events(spark, sf_dir).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    """Events and their value by hour and type; an hour is closed ten minutes late, or by the table's span if its files overlap in time."""
+    stream = _events(spark, sf_dir).withWatermark("ts", _span(spark, sf_dir, 600)).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     out = drained(stream.select(F.col("w.start").alias("hour"), "event_type", "n", "total"), "window", "update")
-    # in update mode an hour is written each time it changes: the last count is the largest
-    return out.groupBy(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.max("n").alias("n"), F.round(F.max("total"), 4).alias("total"))
+    # in update mode an hour is written each time it changes: the last count is the largest, and its total the last one
+    return out.groupBy(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
 
 
 WINDOW_SQL = "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
@@ -48,7 +57,7 @@ WINDOW_SQL = "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n,
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of watched counties, each event once, joined with the static list of watches."""
     watched = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 10 = 0").select((F.col("user_id") % 25).alias("county_id")).distinct()
-    stream = _events(spark, sf_dir).withWatermark("ts", "3 days").dropDuplicatesWithinWatermark(["event_id"]).where("event_type <> 'view'").withColumn("county_id", F.col("user_id") % 25)
+    stream = _events(spark, sf_dir).withWatermark("ts", _span(spark, sf_dir, 3 * 86400)).dropDuplicatesWithinWatermark(["event_id"]).where("event_type <> 'view'").withColumn("county_id", F.col("user_id") % 25)
     return drained(stream.join(watched, "county_id", "left_semi").select("event_id", "county_id", "event_type"), "changes")
 
 

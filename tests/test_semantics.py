@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from permrisk.functions import text as T
 from permrisk.operators.asof import look_up, moments, running
 from permrisk.plans import ledger, models, quality
+from permrisk.streaming import changes
 
 
 def test_running_state_cannot_see_the_day_or_what_follows(spark):
@@ -96,6 +97,26 @@ def test_ledger_queries_take_all_applications(spark, sf):
     assert run("grades").agg(F.max("seq")).first()[0] >= 1000 and run("resolvable").agg(F.max("seq")).first()[0] >= 1000
 
 
+def test_streams_lose_nothing_of_many_files_in_mixed_order(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    # the first file has the latest events, and values are negative
+    rows = [(i, start + dt.timedelta(hours=(i * 7) % 240, minutes=i % 60), i % 50, ("click", "view")[i % 2], -1.0 * i) for i in range(240)]
+    rows.sort(key=lambda r: r[1], reverse=True)
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for k in range(12):
+        part = spark.createDataFrame(rows[k * 20 : k * 20 + 20], "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double").coalesce(1)
+        part.write.mode("overwrite").parquet(str(tmp_path / f"part-{k}"))
+        next((tmp_path / f"part-{k}").glob("part-*.parquet")).rename(folder / f"part-{k:02d}.parquet")
+    want = {}
+    for _, ts, _, kind, value in rows:
+        n, total = want.get((ts.replace(minute=0), kind), (0, 0.0))
+        want[ts.replace(minute=0), kind] = (n + 1, total + value)
+    assert {(r.hour, r.event_type): (r.n, r.total) for r in changes.window_counts(spark, str(tmp_path)).collect()} == want
+    watched = {r[2] % 25 for r in rows if r[2] % 10 == 0}
+    assert sorted(r.event_id for r in changes.change_stream(spark, str(tmp_path)).collect()) == sorted(r[0] for r in rows if r[3] != "view" and r[2] % 25 in watched)
+
+
 def test_upsert_and_insert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "d"), (None, "m")], "k int, v string")
