@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from permrisk.functions import text as T
 from permrisk.plans.dialect import Oracle, Spark
 from permrisk.plans.graph import frame, query, statement
+from permrisk.sources.scratch import fresh
 
 PHRASES = {
     "relief": ("Rezoning and special use permit", "variance request", "Site plan review", "CUP and comprehensive plan amendment", "annexation, text amendment", "tax increment financing", "nothing here", "subdivision plat with a development agreement"),
@@ -215,16 +219,49 @@ def _haversine(ax, ay, bx, by):
     return f"6371008.8 * 2 * asin(least(1.0, sqrt(pow(sin(radians(({by} - {ay}) / 2)), 2) + cos(radians({ay})) * cos(radians({by})) * pow(sin(radians(({bx} - {ax}) / 2)), 2))))"
 
 
-def nearest(d):
-    """Distance to the nearest home within a tenth of a degree; a grid of that size makes it an equi-join of nine cells."""
-    steps = " UNION ALL ".join(f"SELECT {i} AS dx, {j} AS dy" for i in (-1, 0, 1) for j in (-1, 0, 1))
-    return f"""
-    WITH site AS (SELECT c_custkey AS site_id, -78 + (c_custkey * 37 % 997) / 500.0 AS x, 38 + (c_custkey * 91 % 991) / 500.0 AS y FROM customer),
-    home AS (SELECT s_suppkey AS home_id, -78 + (s_suppkey * 53 % 997) / 500.0 AS x, 38 + (s_suppkey * 17 % 991) / 500.0 AS y FROM supplier),
-    step AS ({steps}),
-    spread AS (SELECT h.*, CAST(floor(h.x * 10) AS INT) + dx AS gx, CAST(floor(h.y * 10) AS INT) + dy AS gy FROM home h CROSS JOIN step),
-    met AS (SELECT s.site_id, {_haversine('s.x', 's.y', 'h.x', 'h.y')} AS m FROM site s JOIN spread h ON h.gx = CAST(floor(s.x * 10) AS INT) AND h.gy = CAST(floor(s.y * 10) AS INT))
-    SELECT site_id, round(min(m), 2) AS distance_m, round(min(m) * 3.28084, 1) AS distance_ft, count(*) FILTER (WHERE m <= 8000) AS within_8km FROM met GROUP BY site_id"""
+_SITES = "SELECT c_custkey AS site_id, -78 + (c_custkey * 37 % 997) / 500.0 AS x, 38 + (c_custkey * 91 % 991) / 500.0 AS y FROM customer"
+_HOMES = "SELECT s_suppkey AS home_id, -78 + (s_suppkey * 53 % 997) / 500.0 AS x, 38 + (s_suppkey * 17 % 991) / 500.0 AS y FROM supplier"
+
+
+def nearest_home(sites: DataFrame, homes: DataFrame) -> DataFrame:
+    """Distance to the nearest home, and how many are within 8 km, of every site; null and none without a home.
+
+    A grid makes it an equi-join of nine cells, of a tenth of a degree at first. A site is settled if no home
+    outside its cells can be nearer; the others go on to cells of twice the size, until these cover everything.
+    """
+    spark = sites.sparkSession
+    ends = sites.select("x", "y").unionByName(homes.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    extent = max([v for v in ends if v is not None], default=0.0)
+    top = max(0, math.ceil(math.log2(extent * 10))) + 1 if extent > 0 else 0
+    step = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    done, pending = [], sites.select("site_id", "x", "y")
+    for level in range(top + 1):
+        cell = lambda c, level=level: F.floor(F.col(c) * 10 / 2**level)
+        spread = homes.select(F.col("x").alias("hx"), F.col("y").alias("hy"), cell("x").alias("cx"), cell("y").alias("cy")).withColumn("dx", step).withColumn("dy", step)
+        spread = spread.select("hx", "hy", (F.col("cx") + F.col("dx")).alias("gx"), (F.col("cy") + F.col("dy")).alias("gy"))
+        met = pending.select("site_id", "x", "y", cell("x").alias("gx"), cell("y").alias("gy")).join(spread, ["gx", "gy"]).select("site_id", F.expr(_haversine("x", "y", "hx", "hy")).alias("m"))
+        met = met.groupBy("site_id").agg(F.min("m").alias("m"), F.count_if(F.col("m") <= 8000).alias("n"))
+        # the way to a meridian so far off, which is the shortest to anything outside the cells
+        sure = F.lit(6371008.8 * (1 - 1e-9)) * F.asin(F.cos(F.radians("y")) * math.sin(math.radians(min(90.0, 0.1 * 2**level))))
+        settled = F.coalesce((F.col("m") <= sure) & (sure >= 8000), F.lit(False)) if level < top else F.lit(True)
+        path = fresh(spark, "nearest")
+        pending.join(met, "site_id", "left").withColumn("settled", settled).write.parquet(path)
+        seen = spark.read.parquet(path)
+        done.append(seen.where("settled").select("site_id", "m", F.coalesce("n", F.lit(0)).cast("bigint").alias("within_8km")))
+        pending = seen.where("NOT settled").select("site_id", "x", "y")
+        if level < top and pending.isEmpty():
+            break
+    every = functools.reduce(DataFrame.unionByName, done)
+    return every.select("site_id", F.round("m", 2).alias("distance_m"), F.round(F.col("m") * 3.28084, 1).alias("distance_ft"), "within_8km")
+
+
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_home(*(query(lambda d, sql=sql: sql)[0](spark, sf_dir) for sql in (_SITES, _HOMES)))
+
+
+NEAREST_SQL = statement(f"""
+    WITH site AS ({_SITES}), home AS ({_HOMES}), met AS (SELECT s.site_id, {_haversine('s.x', 's.y', 'h.x', 'h.y')} AS m FROM site s LEFT JOIN home h ON true)
+    SELECT site_id, round(min(m), 2) AS distance_m, round(min(m) * 3.28084, 1) AS distance_ft, count(*) FILTER (WHERE m <= 8000) AS within_8km FROM met GROUP BY site_id""", Oracle)
 
 
 def tiles(d):
@@ -252,4 +289,4 @@ CALENDAR_SQL = statement("""
 QUERIES = {
     "text_normalised": (normalised, NORMALISED_SQL), "text_names": (names, NAMES_SQL), "text_legibility": (legibility, LEGIBILITY_SQL), "text_segments": (segments, SEGMENTS_SQL), "text_elided_quotes": (elided, ELIDED_SQL),
     "similar_names": (similar_names, SIMILAR_SQL), "election_calendar": (calendar, CALENDAR_SQL),
-} | {f"text_{f.__name__}": query(f) for f in (quotes, transcript, windows, platforms, content_store)} | {f.__name__: query(f) for f in (clusters, member_terms)} | {f"geo_{f.__name__}": query(f) for f in (locate, nearest, tiles)}
+} | {f"text_{f.__name__}": query(f) for f in (quotes, transcript, windows, platforms, content_store)} | {f.__name__: query(f) for f in (clusters, member_terms)} | {f"geo_{f.__name__}": query(f) for f in (locate, tiles)} | {"geo_nearest": (nearest, NEAREST_SQL)}

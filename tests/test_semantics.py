@@ -2,12 +2,13 @@
 
 import datetime as dt
 import hashlib
+import math
 
 from pyspark.sql import functions as F
 
 from permrisk.functions import text as T
 from permrisk.operators.asof import look_up, moments, running
-from permrisk.plans import ledger, models, quality
+from permrisk.plans import ledger, models, quality, text
 from permrisk.streaming import changes
 
 
@@ -117,6 +118,21 @@ def test_streams_lose_nothing_of_many_files_in_mixed_order(spark, tmp_path):
     assert sorted(r.event_id for r in changes.change_stream(spark, str(tmp_path)).collect()) == sorted(r[0] for r in rows if r[3] != "view" and r[2] % 25 in watched)
 
 
+def test_nearest_home_is_found_however_far(spark):
+    sites = spark.createDataFrame([(1, -78.0, 38.0), (2, -76.03, 39.96), (3, -77.5, 38.5)], "site_id bigint, x double, y double")
+    homes = spark.createDataFrame([(1, -77.99, 38.01), (2, -77.0, 39.0)], "home_id bigint, x double, y double")
+
+    def far(a, b):
+        (ax, ay), (bx, by) = (tuple(map(math.radians, p)) for p in (a, b))
+        return 6371008.8 * 2 * math.asin(math.sqrt(math.sin((by - ay) / 2) ** 2 + math.cos(ay) * math.cos(by) * math.sin((bx - ax) / 2) ** 2))
+
+    want = {s.site_id: min(far((s.x, s.y), (h.x, h.y)) for h in homes.collect()) for s in sites.collect()}
+    got = {r.site_id: r for r in text.nearest_home(sites, homes).collect()}
+    assert {k: r.distance_m for k, r in got.items()} == {k: round(m, 2) for k, m in want.items()}
+    assert {k: r.within_8km for k, r in got.items()} == {1: 1, 2: 0, 3: 0}
+    assert [(r.distance_m, r.within_8km) for r in text.nearest_home(sites, homes.limit(0)).collect()] == [(None, 0)] * 3
+
+
 def test_upsert_and_insert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "d"), (None, "m")], "k int, v string")
