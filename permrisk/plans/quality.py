@@ -57,7 +57,7 @@ def citations(d):
 def ids_twice(d):
     """Ids used in two sections."""
     return """
-    SELECT id, count(*) AS sections FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderkey < 3000 UNION ALL SELECT p_partkey FROM part) u GROUP BY id HAVING count(*) > 1"""
+    SELECT id, count(*) AS sections FROM (SELECT o_orderkey AS id FROM orders UNION ALL SELECT p_partkey FROM part) u GROUP BY id HAVING count(*) > 1"""
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

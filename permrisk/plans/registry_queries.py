@@ -68,7 +68,7 @@ def structural_clusters(d):
 def label_ids(d):
     """Suggested ids from names, with a number behind those already taken."""
     return f"""
-    WITH base AS (SELECT p_partkey, {d.replace('lower(p_name)', '[^a-z0-9]+', '-')} AS slug FROM part WHERE p_partkey < 300),
+    WITH base AS (SELECT p_partkey, {d.replace('lower(p_name)', '[^a-z0-9]+', '-')} AS slug FROM part),
     placed AS (SELECT p_partkey, slug, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS k FROM base)
     SELECT p_partkey, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS label_id FROM placed"""
 

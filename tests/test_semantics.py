@@ -133,6 +133,16 @@ def test_nearest_home_is_found_however_far(spark):
     assert [(r.distance_m, r.within_8km) for r in text.nearest_home(sites, homes.limit(0)).collect()] == [(None, 0)] * 3
 
 
+def test_ids_are_taken_from_the_whole_tables(spark, tmp_path):
+    from permrisk.plans.registry import QUERIES
+
+    spark.createDataFrame([(5, "Red ring"), (4000, "red Ring"), (4001, "x")], "p_partkey bigint, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(5,), (4000,), (9000,)], "o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    labels = QUERIES["registry_label_ids"][0](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, labels)) == [(5, "red-ring"), (4000, "red-ring-2"), (4001, "x")]
+    assert sorted(map(tuple, QUERIES["quality_ids_twice"][0](spark, str(tmp_path)).collect())) == [(5, 2), (4000, 2)]
+
+
 def test_upsert_and_insert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "d"), (None, "m")], "k int, v string")
