@@ -8,9 +8,9 @@ corpus, an instance is worth the noisy-or of the patterns it follows, a seed is
 worth 1. Identifiers of a compatible form behind a pattern of high confidence
 are added to the spans found by form.
 
-A pattern needs at least ``min_support`` distinct seed values and at least one
-in ``PATTERN_SHARE`` of all seed occurrences, so there are never more than
-2 x PATTERN_SHARE patterns to broadcast, however large the corpus is.
+A pattern needs at least ``min_support`` distinct seed values. Patterns are
+broadcast in blocks of about ``BLOCK``; if there are more, the texts are passed
+over once for each block, which is exact because patterns do not meet.
 
 Null and empty texts return zero counts and empty span lists; rows are judged
 one by one, so repeated rows repeat their result; null ids are kept.
@@ -21,6 +21,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,8 @@ from permrisk.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT = 3
-PATTERN_SHARE = 100_000
+BLOCK = 200_000
+ADDED = "__added"
 CONFIDENCE = 0.8
 ROUNDS = 3
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -185,19 +188,20 @@ def _observed(batches, patterns: dict[str, tuple[str, ...]]):
         yield _batch(rows, ("kind", "pattern", "value"))
 
 
-def patterns(docs: DataFrame, text_col: str = "text", *, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> dict[str, tuple[str, ...]]:
-    """The patterns of high confidence, each with the kinds it stands for."""
+def patterns(docs: DataFrame, text_col: str = "text", *, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> Iterator[dict[str, tuple[str, ...]]]:
+    """The patterns of high confidence in blocks, each with the kinds it stands for; one empty block if there are none."""
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
     seeds = materialize(texts.mapInArrow(_seeds, "kind string, pattern string, value string, n bigint").groupBy("kind", "pattern", "value").agg(F.sum("n").alias("n")), "seeds")
-    total = seeds.agg(F.sum("n")).first()[0] or 0
-    support = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"))
-    strong = support.where((F.col("values") >= min_support) & (F.col("n") * PATTERN_SHARE >= total)).select("kind", "pattern")
-    cues = _as_dict(strong)
-    if not cues:
-        return {}
-    shared = docs.sparkSession.sparkContext.broadcast(cues)
-    seen = texts.mapInArrow(lambda b: _observed(b, shared.value), "kind string, pattern string, value string, n bigint")
-    edges = materialize(seen.groupBy("kind", "pattern", "value").agg(F.sum("n").alias("n")), "graph")
+    strong = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= min_support).select("kind", "pattern")
+    parts = []
+    for cues in _blocks(strong):
+        shared = docs.sparkSession.sparkContext.broadcast(cues)
+        seen = texts.mapInArrow(lambda b, shared=shared: _observed(b, shared.value), "kind string, pattern string, value string, n bigint")
+        parts.append(materialize(seen.groupBy("kind", "pattern", "value").agg(F.sum("n").alias("n")), "graph"))
+    if not parts:
+        yield {}
+        return
+    edges = reduce(DataFrame.unionByName, parts)
     known = seeds.select("kind", "value").distinct().withColumn("seed", F.lit(1.0))
     edges = materialize(edges.join(known, ["kind", "value"], "left"), "graph")
     # words that are no identifier count once for each occurrence and are never worth anything
@@ -208,7 +212,21 @@ def patterns(docs: DataFrame, text_col: str = "text", *, min_support: int = MIN_
         linked = edges.join(scores, ["kind", "pattern"]).where("value <> ''")
         worth = linked.groupBy("kind", "value").agg(F.coalesce(F.max("seed"), 1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("worth"))
         scores = edges.join(worth, ["kind", "value"], "left").groupBy("kind", "pattern").agg((F.sum(F.coalesce("worth", F.lit(0.0))) / size).alias("score"))
-    return _as_dict(scores.where(F.col("score") >= confidence).select("kind", "pattern"))
+    none = True
+    for block in _blocks(materialize(scores.where(F.col("score") >= confidence).select("kind", "pattern"), "patterns")):
+        none = False
+        yield block
+    if none:
+        yield {}
+
+
+def _blocks(rows: DataFrame) -> Iterator[dict[str, tuple[str, ...]]]:
+    """The rows as dictionaries of about ``BLOCK`` each; a pattern is in one of them with all its kinds."""
+    n = -(-rows.count() // BLOCK)
+    for k in range(n):
+        found = _as_dict(rows if n == 1 else rows.where(F.pmod(F.xxhash64("pattern"), F.lit(n)) == k))
+        if found:
+            yield found
 
 
 def _as_dict(rows: DataFrame) -> dict[str, tuple[str, ...]]:
@@ -218,12 +236,12 @@ def _as_dict(rows: DataFrame) -> dict[str, tuple[str, ...]]:
     return out
 
 
-def all_spans(text: str, found: dict[str, tuple[str, ...]]) -> tuple[list, list]:
-    """Base spans, and all spans: those and what patterns of high confidence add beside them."""
+def all_spans(text: str, found: dict[str, tuple[str, ...]], more: str = "") -> tuple[list, list]:
+    """Base spans, and all spans: those and what patterns of high confidence add beside them, or have added (``more``)."""
     base = base_spans(text)
-    if not found:
+    if not found and not more:
         return base, base
-    taken, added = sorted((a, b) for _, a, b in base), set()
+    taken, added = sorted((a, b) for _, a, b in base), {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in more.split(",") if s)}
     for _, kinds, a, b in _followers(text, found):
         if not any(x < b and a < y for x, y in taken):
             added |= {(kind, a, b) for kind in kinds if compatible(kind, text[a:b])}
@@ -235,16 +253,46 @@ def _text(spans: list) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def _searched(docs: DataFrame, text_col: str, options: dict):
+    """The documents and the last block of patterns; what the blocks before it add is in a column, if there are any."""
+    blocks = patterns(docs, text_col, **options)
+    found = next(blocks)
+    for block in blocks:
+        docs = docs if ADDED in docs.columns else docs.withColumn(ADDED, F.lit(""))
+        docs = materialize(_noted(docs, text_col, found), "added")
+        found = block
+    return docs, docs.sparkSession.sparkContext.broadcast(found)
+
+
+def _noted(docs: DataFrame, text_col: str, found: dict[str, tuple[str, ...]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+    at, to = docs.columns.index(text_col), docs.columns.index(ADDED)
+
+    def run(batches):
+        for batch in batches:
+            more = []
+            for text, before in zip(batch.column(at).to_pylist(), batch.column(to).to_pylist(), strict=True):
+                base, every = all_spans(text or "", shared.value, before)
+                more.append(_text(sorted({*every} - {*base})))
+            yield pa.RecordBatch.from_arrays([pa.array(more, pa.string()) if i == to else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _before(batch) -> list[str]:
+    return batch.column(ADDED).to_pylist() if ADDED in batch.schema.names else [""] * batch.num_rows
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row a document: counts and digest of the base spans, all spans, and how many the patterns added."""
-    shared = docs.sparkSession.sparkContext.broadcast(patterns(docs, text_col, **options))
+    docs, shared = _searched(docs.select(id_col, text_col), text_col, options)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             counts, sha, spans, added = [[] for _ in KINDS], [], [], []
-            for text in batch.column(1).to_pylist():
-                base, every = all_spans(text or "", shared.value)
+            for text, more in zip(batch.column(1).to_pylist(), _before(batch), strict=True):
+                base, every = all_spans(text or "", shared.value, more)
                 per = Counter(k for k, _, _ in base)
                 for column, name in zip(counts, KINDS, strict=True):
                     column.append(per[name])
@@ -255,20 +303,22 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     schema = f"`{id_col}` {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, n_added bigint"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; all other columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(patterns(docs, text_col, **options))
+    schema = docs.schema
+    docs, shared = _searched(docs, text_col, options)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts = [None if t is None else masked(t, all_spans(t, shared.value)[1]) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+            texts = [None if t is None else masked(t, all_spans(t, shared.value, more)[1]) for t, more in zip(batch.column(at).to_pylist(), _before(batch), strict=True)]
+            kept = [(name, pa.array(texts, pa.string()) if i == at else c) for i, (name, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if name != ADDED]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept], names=[name for name, _ in kept])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -73,6 +73,19 @@ def test_pii_learns_contexts(spark):
     assert {r.doc_id: r.text for r in pii.redact(df).collect()}[99] == "please use hotline [PHONE] today"
 
 
+def test_pii_keeps_rare_contexts_of_a_large_corpus(spark, monkeypatch):
+    rows = [(i, f"filler text {i} hotline +1 555 010 {1000 + i} thanks") for i in range(3)] + [(99, "please use hotline 555-0199-88 today")]
+    many = " ".join(f"mail a{i}@example.org and" for i in range(1000))
+    df = spark.createDataFrame(rows + [(1000 + i, many) for i in range(310)], "doc_id bigint, text string")
+    results = []
+    for block in (pii.BLOCK, 3):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        results.append(sorted(map(tuple, pii.find(df).collect())))
+    assert {r.doc_id: r.text for r in pii.redact(df).where("doc_id < 1000").collect()}[99] == "please use hotline [PHONE] today"
+    assert results[0] == results[1]
+    assert {r[0]: r[-1] for r in results[0]}[99] == 1
+
+
 def test_pii_plain_pass_counts_what_the_full_one_counts(docs):
     cues = {"the": ("phone",), "of the": ("card", "ip"), "la": ("email",)}
     by_last = {"the": {"": ("the", ("phone",)), "of": ("of the", ("card", "ip"))}, "la": {"": ("la", ("email",))}}
