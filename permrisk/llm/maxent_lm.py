@@ -1,21 +1,26 @@
 """Language-model scores from a hashed maximum-entropy model.
 
 Counts first: every word of every training document is counted, and the counts
-stay a table. The ``HOT_WORDS`` most frequent words (a bounded list) go to all
-tasks; other words of a text meet their counts in a join on the word, so no
-dictionary grows with the corpus, and no frequent word is a hot join key.
-
-The model factors a token into its class and its place in the class. The
-``WORDS`` most frequent tokens, the end of a text among them, make classes of
-``PER_CLASS`` by frequency; one more class holds all other words. In it, the
-rest of the ``HOT_WORDS`` are found by group, block and place, and the last
-group holds the words outside the list, which have add-one probabilities. All
-of these are softmaxes over hashed features: the word before, the two before,
-and skips over one or two words. Biases start at the counts. Each round, tasks
-take minibatch gradient steps (Adagrad) from the broadcast weights on another
-share of the training documents, all of them by the last round, and the weights
-are averaged by tokens, block by block, on the executors. Scoring is a sparse
-gather and a dense softmax in numpy batches.
+stay a table. The ``HOT_WORDS`` most frequent words (a bounded list; words over
+``HOT_BYTES`` bytes stand in it by their digest) go to all tasks; other words of
+a text meet their counts in a join on the word, so no dictionary grows with the
+corpus, and no frequent word is a hot join key.
+
+The model factors a token into classes of classes: the words of the list, the
+end of a text among them, and one leaf for all words beyond it are the leaves of
+a tree with ``BRANCH`` ways at each node, cut so that the ways are about equally
+likely. A frequent word takes one or two choices, a rare one five or six. Each
+choice is a softmax over hashed features of the node with the word before, with
+the two before, and, skipping one, with the second before. Biases are the
+logarithms of the exact counts, so a context never seen leaves the unigram
+model. In the leaf of the words beyond the list, these have add-one
+probabilities.
+
+Each round, tasks take minibatch gradient steps (Adagrad, a step size for each
+feature) from the broadcast weights on another share of the training documents,
+all of them by the last round. The weights of a feature are averaged over the
+tasks in proportion to the squared gradients each saw for it, block by block, on
+the executors. Scoring is a sparse gather and a dense softmax in numpy batches.
 
 A null text is an empty one: its only token is the end. Null ids are scored and
 never trained on. Without training documents counts are zero and the model
@@ -24,9 +29,12 @@ gives every token the add-one probability.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +43,15 @@ from pyspark.sql import functions as F
 
 from permrisk.llm.common import fold, materialize, slices
 
-HOT_WORDS, HOT_BYTES = 1 << 16, 64
-WORDS, PER_CLASS = 1024, 32
-CLASSES = WORDS // PER_CLASS + 1
-OTHER = CLASSES - 1
-BLOCKS = (HOT_WORDS - WORDS) // PER_CLASS
-GROUPS = BLOCKS // PER_CLASS + 1
+HOT_WORDS, HOT_BYTES = (1 << 16) - 1, 64
+BRANCH = 16
+#: features of a choice, and the rows that the features of a kind are hashed to
+FEATURES, ROWS = 3, 1 << 16
 HASHED = 1024
-CONTEXTS = WORDS + HASHED + 1
-START = CONTEXTS - 1
-PAIRS, INSIDE = 1 << 13, 1 << 13
-ROUNDS, STEP, BATCH = 3, 0.15, 4096
-TOKENS_AT_ONCE = 1 << 15
+START = HOT_WORDS + HASHED + 1
+ROUNDS, STEP, BATCH = 3, 0.5, 32768
+BLOCK = 1024
+BOUND = np.float32(40)
 BATCH_CHARS = 1 << 21
 COUNTED_AT_ONCE = 1 << 18
 END = b""
@@ -74,246 +79,217 @@ def _counts(batches):
 
 @dataclass
 class Vocabulary:
+    """The words of the list by rank, their counts, and the number of all and of all distinct tokens."""
+
     rank: dict[bytes, int]
     count: np.ndarray
     total: int
     distinct: int
 
     def __post_init__(self):
-        n = min(WORDS, len(self.count))
-        self.inside = n
-        self.other_total = self.total - int(self.count[:n].sum())
         self.rest_total = self.total - int(self.count.sum())
         self.rest_distinct = self.distinct - len(self.count)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Rank of each token; a word without one gets minus one minus its hash."""
-        get = self.rank.get
-        return np.array([r if (r := get(w)) is not None else -1 - zlib.crc32(w) % HASHED for w in words], dtype=np.int64)
-
+        ids = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
+        beyond = np.flatnonzero(ids < 0)
+        if len(beyond):
+            ids[beyond] = [self._beyond(words[k]) for k in beyond.tolist()]
+        return ids
 
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """What stands for a token in the features of others."""
-    return np.where(ids < 0, WORDS - 1 - ids, np.where(ids < WORDS, ids, WORDS + ids % HASHED))
+    def _beyond(self, word: bytes) -> int:
+        found = self.rank.get(_digest(word)) if len(word) > HOT_BYTES else None
+        return -1 - zlib.crc32(word) % HASHED if found is None else found
 
 
-def _hashed(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-    h = (a * np.int64(0x9E3779B1) + b * np.int64(0x85EBCA6B) + np.int64(1)) & 0xFFFFFFFF
-    return (h ^ h >> 15) * np.int64(0x2C1B3C6D) >> 9 & (size - 1)
+def _digest(word: bytes) -> bytes:
+    """What stands for a long word in the list; no word has a blank."""
+    return b" " + hashlib.sha256(word).digest()
 
 
-class Model:
-    """Weights of all features: tables for the classes and places, and for the groups, blocks and places of the words beyond."""
+class Tree:
+    """Paths of choices to the leaves: words by rank, and last the words beyond the list.
 
-    BASES = np.cumsum([0, CONTEXTS, PAIRS, CONTEXTS, CONTEXTS])
-    ROWS = CONTEXTS * 3 + PAIRS * 2 + 1
+    The least likely BRANCH nodes become the ways of a new node until one is left,
+    which keeps the mean number of choices a token least (Huffman).
+    """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.of_class = np.zeros((self.ROWS, CLASSES), dtype=np.float32)
-        self.of_place = np.zeros((2 * INSIDE + CLASSES, PER_CLASS), dtype=np.float32)
-        count = np.zeros(WORDS)
-        count[: vocabulary.inside] = vocabulary.count[: vocabulary.inside]
-        grid = count.reshape(-1, PER_CLASS)
-        self.of_class[-1] = np.log(np.concatenate([grid.sum(axis=1), [vocabulary.other_total]]) + 0.5)
-        self.of_place[2 * INSIDE : -1] = np.log(grid + 1e-3)
-        beyond = np.zeros(BLOCKS * PER_CLASS)
-        beyond[: len(vocabulary.count) - vocabulary.inside] = vocabulary.count[vocabulary.inside :]
-        words = beyond.reshape(-1, PER_CLASS)
-        blocks = words.sum(axis=1).reshape(-1, PER_CLASS)
-        self.of_group = np.zeros((2 * INSIDE + 1, GROUPS), dtype=np.float32)
-        self.of_block = np.zeros((2 * INSIDE + GROUPS - 1, PER_CLASS), dtype=np.float32)
-        self.of_word = np.zeros((2 * INSIDE + BLOCKS, PER_CLASS), dtype=np.float32)
-        self.of_group[-1] = np.log(np.concatenate([blocks.sum(axis=1), [vocabulary.rest_total]]) + 0.5)
-        self.of_block[2 * INSIDE :] = np.log(blocks + 1e-3)
-        self.of_word[2 * INSIDE :] = np.log(words + 1e-3)
-
-    @classmethod
-    def of(cls, blocks):
-        model = cls.__new__(cls)
-        model.of_class, model.of_place, model.of_group, model.of_block, model.of_word = blocks
-        return model
-
-    def rows(self, one, two, three):
-        return np.stack([one, _hashed(one, two, PAIRS) + self.BASES[1], two + self.BASES[2], three + self.BASES[3], _hashed(one, three, PAIRS) + self.BASES[4]])
-
-    @staticmethod
-    def place_rows(one, two, cls):
-        return np.stack([_hashed(one, cls, INSIDE), _hashed(two, cls + 64, INSIDE) + INSIDE, cls + 2 * INSIDE])
+        mass = np.concatenate([vocabulary.count, [vocabulary.rest_total]]) + 0.5
+        leaves = len(mass)
+        heap = [(m, k) for k, m in enumerate(mass.tolist())]
+        heapq.heapify(heap)
+        ways: list[list[int]] = []
+        take = 2 + (leaves - 2) % (BRANCH - 1)  # so that every later node has all its ways
+        while len(heap) > 1 or not ways:
+            found = [heapq.heappop(heap) for _ in range(min(take, len(heap)))]
+            heapq.heappush(heap, (sum(m for m, _ in found), leaves + len(ways)))
+            ways.append([k for _, k in found])
+            take = BRANCH
+        ways.reverse()  # the root first
+        number = leaves + len(ways) - 1
+        self.bias = np.full((len(ways), BRANCH), -BOUND, dtype=np.float32)
+        total = np.concatenate([mass, np.zeros(len(ways))])
+        paths: list[list[tuple[int, int]]] = [[] for _ in range(leaves + len(ways))]
+        for node, below in enumerate(ways):
+            for way, k in enumerate(below):
+                paths[k] = [*paths[number - node], (node, way)]
+        for node in range(len(ways) - 1, -1, -1):
+            part = total[ways[node]]
+            total[number - node] = part.sum()
+            self.bias[node, : len(part)] = np.log(part / part.sum())
+        depth = max(len(p) for p in paths[:leaves])
+        self.node = np.full((depth, leaves), -1, dtype=np.int32)
+        self.way = np.zeros((depth, leaves), dtype=np.int8)
+        for leaf, path in enumerate(paths[:leaves]):
+            for d, (node, way) in enumerate(path):
+                self.node[d, leaf], self.way[d, leaf] = node, way
 
-    def logits(self, table, rows):
-        out = table[rows[0]]
-        for r in rows[1:]:
-            out += table[r]
-        return out
 
-    def log_probability(self, ids, one, two, three):
-        """Natural log of P(class) times, for the words of the model, P(place | class)."""
-        cls = np.where((ids >= 0) & (ids < WORDS), ids // PER_CLASS, OTHER)
-        x = self.logits(self.of_class, self.rows(one, two, three)) + self.of_class[-1]
-        out = _picked(x, cls)
-        known = np.flatnonzero(cls != OTHER)
-        if len(known):
-            y = self.logits(self.of_place, self.place_rows(one[known], two[known], cls[known]))
-            out[known] += _picked(y, ids[known] % PER_CLASS)
-        return out
-
-    def log_beyond(self, ids, one, two):
-        """Natural log of P(group | other) times, for the words of the list, P(block | group) and P(place | block)."""
-        group, block = beyond(ids)
-        out = _picked(self.logits(self.of_group, self.place_rows(one, two, np.zeros_like(ids))), group)
-        hot = np.flatnonzero(ids >= 0)
-        if len(hot):
-            one, two, group, block = one[hot], two[hot], group[hot], block[hot]
-            out[hot] += _picked(self.logits(self.of_block, self.place_rows(one, two, group)), block % PER_CLASS)
-            out[hot] += _picked(self.logits(self.of_word, self.place_rows(one, two, block)), ids[hot] % PER_CLASS)
-        return out
-
-    def blocks(self):
-        return [self.of_class, self.of_place, self.of_group, self.of_block, self.of_word]
+class Model:
+    """The tree and the weights of all features, a table for each kind of feature."""
 
+    def __init__(self, tree: Tree, tables: list[np.ndarray] | None = None):
+        self.tree = tree
+        self.tables = tables if tables is not None else [np.zeros((ROWS, BRANCH), dtype=np.float32) for _ in range(FEATURES)]
 
-def beyond(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Group and block of words beyond the classes; words outside the list are the last group."""
-    block = np.maximum(ids - WORDS, 0) // PER_CLASS
-    return np.where(ids < 0, GROUPS - 1, block // PER_CLASS), block
+    @staticmethod
+    def contexts(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+        """What each kind of feature sees of the words before."""
+        a, b = one.astype(np.uint32) * np.uint32(0x9E3779B1), two.astype(np.uint32) * np.uint32(0x85EBCA77)
+        return [a, (a ^ b >> np.uint32(15)) * np.uint32(0xC2B2AE3D) + b, b ^ np.uint32(0x27D4EB2F)]
 
+    @staticmethod
+    def rows(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
+        n = node.astype(np.uint32) * np.uint32(0x165667B1)
+        return [((c ^ n) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.uint16) for c in contexts]
+
+    def shares(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """Probability of each way."""
+        x = self.tree.bias.take(node, axis=0)
+        for table, r in zip(self.tables, rows, strict=True):
+            x += table.take(r, axis=0)
+        np.clip(x, -BOUND, BOUND, out=x)
+        np.exp(x, out=x)
+        x /= x.sum(axis=1, keepdims=True)
+        return x
+
+    def levels(self, leaf: np.ndarray, contexts: list[np.ndarray]):
+        """(tokens, nodes, ways, feature rows) of the choices of each depth."""
+        live = np.arange(len(leaf))
+        for node, way in zip(self.tree.node, self.tree.way, strict=True):
+            at = node.take(leaf)
+            if len(live) < len(leaf) or (at < 0).any():
+                keep = np.flatnonzero(at >= 0)
+                live, leaf, at = live[keep], leaf[keep], at[keep]
+                contexts = [c[keep] for c in contexts]
+            if not len(live):
+                return
+            yield live, at, way.take(leaf), self.rows(contexts, at)
+
+    def log_probability(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(leaf))
+        for lo in range(0, len(leaf), BATCH):
+            cut = slice(lo, lo + BATCH)
+            for live, node, way, rows in self.levels(leaf[cut], self.contexts(one[cut], two[cut])):
+                out[lo + live] += np.log(self.shares(node, rows)[np.arange(len(live)), way])
+        return out
 
-def _picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    return (x[np.arange(len(x)), at] - np.log(np.exp(x).sum(axis=1))).astype(np.float64)
+    def learn(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray, sums: list[np.ndarray]) -> None:
+        """One step on a minibatch; ``sums`` holds the squared gradients of each row."""
+        for live, node, way, rows in self.levels(leaf, self.contexts(one, two)):
+            g = self.shares(node, rows)
+            g[np.arange(len(live)), way] -= 1
+            for table, total, r in zip(self.tables, sums, rows, strict=True):
+                order = np.argsort(r, kind="stable")
+                inside = r.take(order)
+                start = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
+                step = np.add.reduceat(g.take(order, axis=0), start, axis=0)
+                at = inside.take(start)
+                so_far = total.take(at) + np.einsum("ij,ij->i", step, step)
+                total[at] = so_far
+                step *= (STEP / np.sqrt(so_far + np.float32(1e-2)))[:, None]
+                table[at] = table.take(at, axis=0) - step
 
 
 def _positions(vocabulary: Vocabulary, texts: list):
-    """Ids and the three contexts before each token, text after text, and the sizes of the texts."""
+    """Words, sizes of the texts, ids, leaves, and what stands for the word before and the second before each token."""
     words = [tokens(t) for t in texts]
     sizes = np.array([len(w) for w in words])
-    ids = vocabulary.ids([w for ws in words for w in ws])
-    ctx = contexts(ids)
+    ids = vocabulary.ids(list(chain.from_iterable(words)))
+    known = np.where(ids < 0, HOT_WORDS - ids, ids)
     place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
     def back(k):
-        out = np.full(len(ctx), START, dtype=np.int64)
-        out[k:] = ctx[:-k]
+        out = np.full(len(ids), START, dtype=np.int64)
+        out[k:] = known[:-k]
         return np.where(place >= k, out, START)
 
-    return words, sizes, ids, back(1), back(2), back(3)
-
-
-def _scatter(table, sums, rows, gradient):
-    """One Adagrad step on the rows of a table."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")  # tables have fewer rows than that
-    sorted_rows = rows[order]
-    start = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    g = np.add.reduceat(gradient[order], start, axis=0)
-    at = sorted_rows[start]
-    sums[at] += g * g
-    table[at] -= STEP * g / np.sqrt(sums[at] + 1e-2)
-
-
-def _learn(model, table, sums, rows, target):
-    """One step towards the target of each token."""
-    g = _softmax(model.logits(table, rows))
-    g[np.arange(len(g)), target] -= 1
-    for r in rows:
-        _scatter(table, sums, r, g)
+    return words, sizes, ids, np.where(ids < 0, len(vocabulary.count), ids), back(1), back(2)
 
 
-def _steps(batches, vocabulary: Vocabulary, weights):
-    """Weights after this task's steps, as blocks of bytes with the number of tokens."""
-    model = Model.of([w.copy() for w in weights])
-    sums = [np.zeros_like(w) for w in weights]
-    seen = 0
+def _steps(batches, vocabulary: Vocabulary, tree: Tree, tables: list[np.ndarray]):
+    """Weights after this task's steps, as blocks of bytes with the squared gradients of each row."""
+    model = Model(tree, [t.copy() for t in tables])
+    sums = [np.zeros(ROWS, dtype=np.float32) for _ in tables]
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for lo, hi in slices([len(t or "") for t in texts], BATCH_CHARS):
-            _, _, every, c1, c2, c3 = _positions(vocabulary, texts[lo:hi])
-            for s in range(0, len(every), BATCH):
-                ids, one, two, three = (x[s : s + BATCH] for x in (every, c1, c2, c3))
-                cls = np.where((ids >= 0) & (ids < WORDS), ids // PER_CLASS, OTHER)
-                rows = model.rows(one, two, three)
-                x = model.logits(model.of_class, rows) + model.of_class[-1]
-                g = _softmax(x)
-                g[np.arange(len(g)), cls] -= 1
-                for r in rows:
-                    _scatter(model.of_class, sums[0], r, g)
-                known = np.flatnonzero(cls != OTHER)
-                if len(known):
-                    _learn(model, model.of_place, sums[1], model.place_rows(one[known], two[known], cls[known]), ids[known] % PER_CLASS)
-                other = np.flatnonzero(cls == OTHER)
-                if len(other):
-                    group, block = beyond(ids[other])
-                    _learn(model, model.of_group, sums[2], model.place_rows(one[other], two[other], np.zeros_like(other)), group)
-                    hot = group < GROUPS - 1
-                    other, group, block = other[hot], group[hot], block[hot]
-                if len(other):
-                    _learn(model, model.of_block, sums[3], model.place_rows(one[other], two[other], group), block % PER_CLASS)
-                    _learn(model, model.of_word, sums[4], model.place_rows(one[other], two[other], block), ids[other] % PER_CLASS)
-                seen += len(ids)
-    if seen:
-        parts = [(k, lo, w[lo : lo + 4096]) for k, w in enumerate(model.blocks()) for lo in range(0, len(w), 4096)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k << 32 | lo for k, lo, _ in parts], pa.int64()), pa.array([seen] * len(parts), pa.int64()), pa.array([w.astype("<f4").tobytes() for _, _, w in parts], pa.binary())], names=["block", "n", "w"]
-        )
-
-
-def _softmax(x):
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+            _, _, _, leaf, one, two = _positions(vocabulary, texts[lo:hi])
+            for s in range(0, len(leaf), BATCH):
+                model.learn(*(x[s : s + BATCH] for x in (leaf, one, two)), sums)
+    parts = [(k, lo) for k in range(FEATURES) for lo in range(0, ROWS, BLOCK) if sums[k][lo : lo + BLOCK].any()]
+    if parts:
+        cut = lambda tables: pa.array([tables[k][lo : lo + BLOCK].astype("<f4").tobytes() for k, lo in parts], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([k << 32 | lo for k, lo in parts], pa.int64()), cut(sums), cut(model.tables)], names=["block", "seen", "w"])
 
 
 def _average(batches):
     total: dict[int, np.ndarray] = {}
-    weight: Counter = Counter()
+    weight: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            part = np.frombuffer(w, "<f4").astype(np.float64) * n
+        for block, seen, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = np.frombuffer(seen, "<f4").astype(np.float64)
+            part = np.frombuffer(w, "<f4").reshape(-1, BRANCH) * n[:, None]
             total[block] = total[block] + part if block in total else part
-            weight[block] += n
+            weight[block] = weight[block] + n if block in weight else n
     keys = sorted(total)
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([weight[k] for k in keys], pa.int64()), pa.array([(total[k] / weight[k]).astype("<f4").tobytes() for k in keys], pa.binary())], names=["block", "n", "w"])
+    mean = [total[k] / np.where(weight[k] > 0, weight[k], 1)[:, None] for k in keys]
+    names = ["block", "seen", "w"]
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([x.astype("<f4").tobytes() for x in xs], pa.binary()) for xs in ([weight[k] for k in keys], mean))], names=names)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, *, rounds: int = ROUNDS) -> Model:
     """Fit on the texts of ``docs`` (columns key, text), each of them in one of the rounds."""
     spark = docs.sparkSession
-    model = Model(vocabulary)
+    model = Model(Tree(vocabulary))
     tasks = max(12, docs.rdd.getNumPartitions() // 8)
     for r in range(rounds):
-        weights = spark.sparkContext.broadcast((vocabulary, model.blocks()))
+        weights = spark.sparkContext.broadcast((vocabulary, model.tree, model.tables))
         part = docs.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == r).select("text").coalesce(tasks)
-        steps = part.mapInArrow(lambda b, w=weights: _steps(b, *w.value), "block bigint, n bigint, w binary")
+        steps = part.mapInArrow(lambda b, w=weights: _steps(b, *w.value), "block bigint, seen binary, w binary")
         # the weights have a fixed size, so have the blocks that come back
-        for row in steps.repartition("block").mapInArrow(_average, "block bigint, n bigint, w binary").collect():
-            table = model.blocks()[row.block >> 32]
+        for row in steps.repartition("block").mapInArrow(_average, "block bigint, seen binary, w binary").collect():
+            seen = np.frombuffer(row.seen, "<f4") > 0
             lo = row.block & 0xFFFFFFFF
-            part = np.frombuffer(row.w, "<f4").reshape(-1, table.shape[1])
-            table[lo : lo + len(part)] = part
+            model.tables[row.block >> 32][lo : lo + BLOCK][seen] = np.frombuffer(row.w, "<f4").reshape(-1, BRANCH)[seen]
         weights.unpersist()
     return model
 
 
-def _scored(batches, vocabulary: Vocabulary, weights):
-    model = Model.of(weights)
+def _scored(batches, vocabulary: Vocabulary, tree: Tree, tables: list[np.ndarray]):
+    model = Model(tree, tables)
     count = np.log10(vocabulary.count + 1.0)
-    blank = not len(vocabulary.count)
+    blank = not vocabulary.total
     log_rest = np.log10(max(1, vocabulary.rest_total + vocabulary.rest_distinct + 1))
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for lo, hi in slices([len(t or "") for t in texts], BATCH_CHARS):
-            words, sizes, ids, one, two, three = _positions(vocabulary, texts[lo:hi])
-            p = np.zeros(len(ids))
-            if not blank:
-                for s in range(0, len(ids), TOKENS_AT_ONCE):
-                    cut = slice(s, s + TOKENS_AT_ONCE)
-                    p[cut] = model.log_probability(ids[cut], one[cut], two[cut], three[cut])
-                    other = s + np.flatnonzero((ids[cut] < 0) | (ids[cut] >= WORDS))
-                    if len(other):
-                        p[other] += model.log_beyond(ids[other], one[other], two[other])
-                p /= np.log(10)
+            words, sizes, ids, leaf, one, two = _positions(vocabulary, texts[lo:hi])
+            p = np.zeros(len(ids)) if blank else model.log_probability(leaf, one, two) / np.log(10)
             hot = ids >= 0
-            base = np.where(hot, count[np.maximum(ids, 0)] if not blank else 0.0, 0.0)
+            base = np.where(hot, count[np.maximum(ids, 0)] if len(count) else 0.0, 0.0)
             p += np.where(hot, 0.0, -log_rest)
             start = np.cumsum(sizes) - sizes
             rare: list[list[dict]] = []
@@ -337,7 +313,8 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     only these leave the tasks. A step that does not fit as a whole stays out.
     """
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    short = counts.where(F.octet_length("word") <= HOT_BYTES).withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int"))
+    word = F.when(F.octet_length("word") <= HOT_BYTES, F.col("word")).otherwise(F.concat(F.lit(b" "), F.unhex(F.sha2("word", 256))))
+    short = counts.select(word.alias("word"), "n").withColumn("step", F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int"))
     room, least = HOT_WORDS, None
     for row in sorted(short.groupBy("step").count().collect(), reverse=True):
         room -= row["count"]
@@ -355,8 +332,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mo
     training = docs.where(out_of).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     counts = materialize(training.select("text").mapInArrow(_counts, "word binary, n bigint").where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     vocabulary = vocabulary_of(counts)
-    model = train(training, vocabulary) if vocabulary.total else Model(vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary, model.blocks()))
+    model = train(training, vocabulary) if vocabulary.total else Model(Tree(vocabulary))
+    shared = spark.sparkContext.broadcast((vocabulary, model.tree, model.tables))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(~out_of, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(lambda b: _scored(b, *shared.value), f"id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, model double, rare array<struct<w:binary,n:bigint>>")

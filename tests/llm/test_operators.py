@@ -224,41 +224,74 @@ def test_lm_counts_and_gain(spark, docs, odd):
             assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
-def test_lm_classes_are_a_distribution():
-    words = {f"w{i}".encode(): i for i in range(3000)}
-    voc = maxent_lm.Vocabulary(words, np.arange(3000, 0, -1), 5_000_000, 3000)
-    model = maxent_lm.Model(voc)
-    rng = np.random.default_rng(0)
-    model.of_class += rng.normal(size=model.of_class.shape).astype(np.float32)
-    model.of_place += rng.normal(size=model.of_place.shape).astype(np.float32)
-    ids = np.concatenate([np.arange(maxent_lm.WORDS), [maxent_lm.WORDS]])
-    at = lambda x: np.full(len(ids), x)
-    assert abs(np.exp(model.log_probability(ids, at(3), at(5), at(9))).sum() - 1) < 1e-4
+def listed(n, total, distinct):
+    return maxent_lm.Vocabulary({f"w{i}".encode(): i for i in range(n)}, np.arange(n, 0, -1), total, distinct)
 
 
-def test_lm_words_beyond_the_classes_are_a_distribution():
-    n = maxent_lm.HOT_WORDS
-    voc = maxent_lm.Vocabulary({f"w{i}".encode(): i for i in range(n)}, np.arange(n, 0, -1), 5_000_000_000, 2 * n)
-    model = maxent_lm.Model(voc)
+def test_lm_leaves_are_a_distribution():
     rng = np.random.default_rng(0)
-    for table in model.blocks():
-        table += rng.normal(size=table.shape).astype(np.float32)
-    ids = np.concatenate([np.arange(maxent_lm.WORDS, n), [-1]])
-    at = lambda x: np.full(len(ids), x)
-    assert abs(np.exp(model.log_beyond(ids, at(3), at(5))).sum() - 1) < 1e-4
+    for n in (0, 1, 15, 16, 17, 3000, maxent_lm.HOT_WORDS):
+        model = maxent_lm.Model(maxent_lm.Tree(listed(n, 5_000_000_000, 2 * n + 5)))
+        for weights in model.tables:
+            weights += rng.normal(size=weights.shape).astype(np.float32)
+        leaves = np.arange(n + 1)
+        p = np.exp(model.log_probability(leaves, np.full(n + 1, 3), np.full(n + 1, 5)))
+        assert abs(p.sum() - 1) < 1e-4 and (p > 0).all()
+
+
+def test_lm_score_by_brute_force(spark, docs, odd, monkeypatch):
+    def short(counts, full=maxent_lm.vocabulary_of):
+        v = full(counts)
+        return maxent_lm.Vocabulary({w: r for w, r in v.rank.items() if r < 700}, v.count[:700], v.total, v.distinct)
+
+    monkeypatch.setattr(maxent_lm, "vocabulary_of", short)
+    train, kept = maxent_lm.train, {}
+    monkeypatch.setattr(maxent_lm, "train", lambda d, v: kept.setdefault(len(kept), (v, train(d, v)))[1])
+    long_words = spark.createDataFrame([(k, f"so {'x' * 70} {'y' * (65 + k % 2)} end") for k in range(900, 990)], "doc_id bigint, text string")
+    few = docs.select("doc_id", "text").where("doc_id < 20").unionByName(long_words)
+    for k, df in enumerate((few, odd)):
+        got = collections.defaultdict(set)
+        for r in maxent_lm.score(df).collect():
+            got[r.doc_id].add(round(r.score, 2))
+        voc, model = kept[k]
+        rows = pairs(df)
+        split = lambda t: [*(t or "").encode().lower().split(), b""]
+        counts = collections.Counter(w for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for w in split(t))
+        assert len(voc.count) <= 700 and (k or any(w[:1] == b" " for w in voc.rank)) and all(counts[w] == voc.count[r] for w, r in voc.rank.items() if w[:1] != b" ")
+        for i, t in rows:
+            total, before = 0.0, [maxent_lm.START, maxent_lm.START]
+            for w in split(t)[:400] if len(t or "") < 5000 else []:
+                r = voc.rank.get(w if len(w) <= 64 else b" " + hashlib.sha256(w).digest())
+                leaf = len(voc.count) if r is None else r
+                a, b = (np.array([x], dtype=np.int64) for x in before)
+                for node, way in zip(model.tree.node[:, leaf], model.tree.way[:, leaf]):
+                    if node >= 0:
+                        x = model.tree.bias[node].astype(float)
+                        for weights, row in zip(model.tables, model.rows(model.contexts(a, b), np.array([node]))):
+                            x = x + weights[row[0]]
+                        total += math.log10(math.exp(x[way]) / sum(math.exp(y) for y in x))
+                if r is None:
+                    total += math.log10((counts[w] + 1) / (voc.rest_total + voc.rest_distinct + 1))
+                before = [maxent_lm.HOT_WORDS + 1 + zlib.crc32(w) % maxent_lm.HASHED if r is None else r, before[0]]
+            if 0 < len(split(t)) <= 400 and len(t or "") < 5000:
+                assert any(abs(total - x) < 0.02 + 1e-4 * abs(total) for x in got[i]), (i, total, got[i])
 
 
 def test_lm_trains_on_every_document_and_every_frequent_word(spark):
-    keyed = spark.range(40).select(F.col("id").alias("key"), F.pmod(F.xxhash64("id"), F.lit(12)).alias("r"))
-    key = keyed.where("r > 2").agg(F.min("key")).first()[0]
     n = 3000
-    voc = maxent_lm.Vocabulary({f"w{i}".encode(): i for i in range(n)}, np.arange(n, 0, -1), 5_000_000, n)
-    docs = spark.createDataFrame([(key, "w1 w2000 w2 w2000")], "key bigint, text string")
-    before, after = maxent_lm.Model(voc), maxent_lm.train(docs, voc)
-    assert all((a != b).any() for a, b in zip(before.blocks(), after.blocks(), strict=True))
-    start, one = np.full(1, maxent_lm.START), np.array([1])
-    gain = lambda i: (after.log_beyond(np.array([i]), one, start) - before.log_beyond(np.array([i]), one, start))[0]
-    assert gain(2000) > 0.01 > gain(2500)
+    for key in range(6):  # in whichever round it is
+        voc = listed(n, 5_000_000, n)
+        docs = spark.createDataFrame([(key, "w1 w2000 w2 w2000")], "key bigint, text string")
+        before, after = maxent_lm.Model(maxent_lm.Tree(voc)), maxent_lm.train(docs, voc)
+        assert all((a != b).any() for a, b in zip(before.tables, after.tables, strict=True))
+        one, start = np.array([1]), np.full(1, maxent_lm.START)
+        gain = lambda i: (after.log_probability(np.array([i]), one, start) - before.log_probability(np.array([i]), one, start))[0]
+        assert gain(2000) > 0.01 > gain(2500)
+
+
+def test_lm_gain_on_held_out_tokens(spark):
+    got = maxent_lm.score(table(spark, "/root/testdata/sf0.01", "documents")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.08
 
 
 # 5
