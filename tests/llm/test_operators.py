@@ -455,10 +455,77 @@ PAGE = """<html><head><title>T</title></head><body><nav><a>Home</a></nav><div cl
 <p>First&nbsp; <b>bold<br>line</p><!-- no --><script>var x="</p>"</script><aside>Side</aside><section class="comments"><p>Nice!</p></section><form>Mail</form><p>Last</main><footer>&copy;</footer></body></html>"""
 
 
+def left(page):
+    return html_text.main_text(html_text.lines(page), [])[0]
+
+
 def test_main_text_by_markup():
-    assert html_text.main_text(html_text.lines(PAGE), []) == "A & B\nFirst bold line\nLast"
-    for broken in (None, "", "<", "a < b", "<!-- x", "<p", "<div class='ad'>open", "<script>", "</p>", "&#x110000; &bogus;", "<p a=\"x>y</p>"):
-        html_text.main_text(html_text.lines(broken), [])
+    assert left(PAGE) == "A & B\nFirst bold line\nLast"
+    for page, want in (
+        ('<article class="post has-sidebar"><p>Body</p></article>', "Body"), ('<article data-x="display:none"><p>x</p></article>', "x"),
+        ("<article><header><h1>Title</h1><p>by me</p></header><p>text</p></article>", "Title\ntext"), ('<article><div class="entry-header"><h1>T</h1>by</div>b</article>', "T\nb"),
+        ('<div class="header-image-wrapper"><p>a</p></div><p class="related-work">b</p>', "a\nb"), ('<div role="main"><div>in</div></div><div>out</div>', "in"),
+        ('<main><article class="comment">no</article><p>y <math>2</math></p></main>', "y 2"), ('<p hidden>n</p><p style="Display: none">n</p><div class="cookie-notice">n</div><div class="site-header">n</div><p>yes', "yes"),
+    ):
+        assert left(page) == want
+    for broken in (None, "", "<", "a < b", "<!-- x", "<p", "<div class='ad'>open", "<script>", "</p>", "&#x110000; &bogus;", "<p a=\"x>y</p>", "<main><main>", "</main></article>", "<header><header>x</header>"):
+        left(broken)
+
+
+def page_order(r):
+    from urllib.parse import urlsplit
+
+    try:
+        u = urlsplit(r[1] or "")
+        host, path = (u.hostname or "") if u.scheme else "", u.path if u.scheme else ""
+    except ValueError:
+        host, path = "", ""
+    return host.lower(), path.lower(), r[0], r[2]
+
+
+def test_pages_are_differenced_alike_however_they_are_dealt(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    heads = {h: [word() for _ in range(3)] for h in range(4)}
+    passage, copy = "a passage that many pages hold", None
+    rows = []
+    for n in range(240):
+        h = rng.choice([0, 0, 0, 1, 2, 3])
+        body = [" ".join(word() for _ in range(5)) for _ in range(rng.randint(1, 6))]
+        if rng.random() < 0.3:
+            body.insert(rng.randint(0, len(body)), passage)
+        parts = [*heads[h], *body, f"imprint {h}"]
+        if rng.random() < 0.3 and copy:
+            h, parts = copy
+        copy = h, parts
+        tag = "article" if rng.random() < 0.1 else "div"
+        html = "".join(f"<div>{x}</div>" for x in parts[:3]) + f"<{tag}>" + "".join(f"<p>{x}</p>" for x in parts[3:-1]) + f"</{tag}><div>{parts[-1]}</div>"
+        rows.append((n, f"http://h{h}.example/{rng.randint(0, 60)}/{n}?q={n}", html))
+    rows += rows[:5]
+    places: list = []
+    for r in sorted(rows, key=page_order):
+        if not places or (places[-1][0], places[-1][1]) != (page_order(r)[0], r[2]):
+            places.append((page_order(r)[0], r[2], []))
+        places[-1][2].append(r)
+    want = collections.Counter()
+    for k, (host, html, group) in enumerate(places):
+        near = [html_text.lines(places[j][1]) for j in (k - 1, k + 1) if 0 <= j < len(places) and places[j][0] == host]
+        text, n = html_text.main_text(html_text.lines(html), near)
+        want.update((r[0], text, n) for r in group)
+    assert sum(n > 0 for _, _, n in want) > 100
+    for parts, size in ((1, 1), (8, 3), (97, 40)):
+        spark.conf.set("spark.sql.shuffle.partitions", size)
+        df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts)
+        got = collections.Counter((r.page_id, r.text, r.n_shared) for r in html_text.extract(df).collect())
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert got == want
+
+
+def test_pages_that_name_no_main_part_give_nearly_the_same(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    marked = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    plain = {r.page_id: r.text for r in html_text.extract(pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))).collect()}
+    assert sum(plain[i] != marked[i] for i in marked) <= 0.01 * len(marked)
 
 
 def test_template_lines_go_where_nothing_names_the_main_part(spark):
