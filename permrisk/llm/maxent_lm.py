@@ -11,7 +11,7 @@ end of a text among them, and one leaf for all words beyond it are the leaves of
 a tree with ``BRANCH`` ways at each node, cut so that the ways are about equally
 likely. A frequent word takes one or two choices, a rare one five or six. Each
 choice is a softmax over hashed features of the node with the word before, with
-the two before, and, skipping one, with the second before. Biases are the
+the second before, skipping one, and, in the first choices, with the two. Biases are the
 logarithms of the exact counts, so a context never seen leaves the unigram
 model. In the leaf of the words beyond the list, these have add-one
 probabilities.
@@ -47,6 +47,8 @@ HOT_WORDS, HOT_BYTES = (1 << 16) - 1, 64
 BRANCH = 16
 #: features of a choice, and the rows that the features of a kind are hashed to
 FEATURES, ROWS = 3, 1 << 16
+#: choices from the root on that see the pair of words before; below them, too few tokens pass for pairs
+PAIRED = 2
 HASHED = 1024
 START = HOT_WORDS + HASHED + 1
 ROUNDS, STEP, BATCH = 3, 0.5, 32768
@@ -158,7 +160,7 @@ class Model:
     def contexts(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
         """What each kind of feature sees of the words before."""
         a, b = one.astype(np.uint32) * np.uint32(0x9E3779B1), two.astype(np.uint32) * np.uint32(0x85EBCA77)
-        return [a, (a ^ b >> np.uint32(15)) * np.uint32(0xC2B2AE3D) + b, b ^ np.uint32(0x27D4EB2F)]
+        return [a, b ^ np.uint32(0x27D4EB2F), (a ^ b >> np.uint32(15)) * np.uint32(0xC2B2AE3D) + b]
 
     @staticmethod
     def rows(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
@@ -168,7 +170,7 @@ class Model:
     def shares(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
         """Probability of each way."""
         x = self.tree.bias.take(node, axis=0)
-        for table, r in zip(self.tables, rows, strict=True):
+        for table, r in zip(self.tables, rows, strict=False):
             x += table.take(r, axis=0)
         np.clip(x, -BOUND, BOUND, out=x)
         np.exp(x, out=x)
@@ -178,7 +180,9 @@ class Model:
     def levels(self, leaf: np.ndarray, contexts: list[np.ndarray]):
         """(tokens, nodes, ways, feature rows) of the choices of each depth."""
         live = np.arange(len(leaf))
-        for node, way in zip(self.tree.node, self.tree.way, strict=True):
+        for depth, (node, way) in enumerate(zip(self.tree.node, self.tree.way, strict=True)):
+            if depth == PAIRED:
+                contexts = contexts[:-1]
             at = node.take(leaf)
             if len(live) < len(leaf) or (at < 0).any():
                 keep = np.flatnonzero(at >= 0)
@@ -201,7 +205,7 @@ class Model:
         for live, node, way, rows in self.levels(leaf, self.contexts(one, two)):
             g = self.shares(node, rows)
             g[np.arange(len(live)), way] -= 1
-            for table, total, r in zip(self.tables, sums, rows, strict=True):
+            for table, total, r in zip(self.tables, sums, rows, strict=False):
                 order = np.argsort(r, kind="stable")
                 inside = r.take(order)
                 start = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))

@@ -264,10 +264,10 @@ def test_lm_score_by_brute_force(spark, docs, odd, monkeypatch):
                 r = voc.rank.get(w if len(w) <= 64 else b" " + hashlib.sha256(w).digest())
                 leaf = len(voc.count) if r is None else r
                 a, b = (np.array([x], dtype=np.int64) for x in before)
-                for node, way in zip(model.tree.node[:, leaf], model.tree.way[:, leaf]):
+                for depth, (node, way) in enumerate(zip(model.tree.node[:, leaf], model.tree.way[:, leaf])):
                     if node >= 0:
                         x = model.tree.bias[node].astype(float)
-                        for weights, row in zip(model.tables, model.rows(model.contexts(a, b), np.array([node]))):
+                        for weights, row in zip(model.tables, model.rows(model.contexts(a, b)[: 3 if depth < 2 else 2], np.array([node]))):
                             x = x + weights[row[0]]
                         total += math.log10(math.exp(x[way]) / sum(math.exp(y) for y in x))
                 if r is None:
