@@ -1,25 +1,35 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four exact forms (email, ip, card, phone) are the seeds. Their occurrences
-induce lexical patterns: the one or two tokens in front of them, case and
-digits folded. Spark then scores the graph of patterns and instances in
-rounds: a pattern is worth the mean score of what follows it anywhere in the
-corpus, an instance is worth the noisy-or of the patterns it follows, a seed is
-worth 1. Identifiers of a compatible form behind a pattern of high confidence
-are added to the spans found by form.
-
-A pattern needs at least ``min_support`` distinct seed values. Patterns are
-broadcast in blocks of about ``BLOCK``; if there are more, the texts are passed
-over once for each block, which is exact because patterns do not meet.
+Four exact forms (email, ip, card, phone) are the seeds. They and all values
+that could be one of the four kinds in another form are instances; each
+occurrence of an instance bears the lexical patterns around it, case and digits
+folded: one token and two tokens to its left, the second to the left with any
+token between, one token to its right, and those on both sides. Spark scores the
+graph of patterns and instances in rounds: a pattern is worth the mean worth of
+what stands in its place anywhere in the corpus, where words that are no
+instance are worth nothing; a seed is worth 1, another instance as much as the
+best pattern around it in the round before. So a pattern may be learnt from
+instances that other patterns discovered, and instances without a seed's form
+count for a pattern only as fast as its seeds and discoveries vouch for them.
+Instances of a kind with a pattern of high confidence are added to the spans
+found by form.
+
+A pattern needs at least ``min_support`` distinct values worth ``confidence``;
+other patterns are worth nothing, and so are those that would not reach it were
+all their instances seeds. Patterns are broadcast in blocks of about ``BLOCK``;
+if there are more, the texts are passed over once for each block, which is exact
+because patterns do not meet.
 
 Null and empty texts return zero counts and empty span lists; rows are judged
-one by one, so repeated rows repeat their result; null ids are kept.
+one by one, so repeated rows repeat their result; null ids are kept. Tokens and
+values of any length are taken whole; long ones are known by a digest.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -35,7 +45,7 @@ MIN_SUPPORT = 3
 BLOCK = 200_000
 ADDED = "__added"
 CONFIDENCE = 0.8
-ROUNDS = 3
+ROUNDS = 12
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _DIGIT = re.compile(r"[0-9]")
@@ -43,9 +53,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\s:=]+[:=]?|[:=]")
-_VALUE = re.compile(r"\+?\(?[0-9](?:[0-9(). -]*[0-9])?(?!\S*[A-Za-z@:])|\S+")
-_TAIL, _REACH = 24, 80
+#: runs of numbers between blanks, and of what may be an address
+_NUMBERS = re.compile(r"""(?<![^\s:=(<\["'])[+(]{0,2}[0-9][0-9().+-]*+(?:\x20[+(]{0,2}[0-9][0-9().+-]*+)*+(?![^\s.,;:!?)\]}'">])""")
+_NUMBER = re.compile(r"[^\x20]+")
+_MARKED = re.compile(r"(?<![^\s:=])[^\s:=@]*+@[^\s:=]*+")
+_COLONS = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:.]++(?![0-9A-Za-z])")
 _ODD = ".,;!?)\"'>]}"
+_OPEN = "<([{\"'"
+LONG = 64
 
 
 def luhn(digits: str) -> bool:
@@ -98,124 +113,188 @@ def compatible(kind: str, value: str) -> bool:
         return 12 <= n <= 19 and not value.strip("0123456789 -")
     if kind == "ip":
         return value.count(":") >= 3 and not value.lower().strip("0123456789abcdef:.")
-    return "@" in value.strip("@") and not value.startswith(("http:", "https:"))
+    return "@" in value.strip("@")
 
 
-def _key(token: str) -> str:
-    return _DIGIT.sub("0", token[-_TAIL:].lower())
+def _plain(text: str) -> bool:
+    """No form and no instance can be in such a text."""
+    return "@" not in text and text.count(":") < 3 and not _DIGIT.search(text)
 
 
-def _contexts(text: str, start: int) -> list[str]:
-    """The patterns of an occurrence at ``start``: one token and two tokens to the left."""
-    tokens = _TOKEN.findall(text[max(0, start - _REACH) : start])[-2:]
-    keys = [_key(t) for t in tokens]
-    return [] if not keys else [keys[-1]] if len(keys) == 1 else [keys[1], f"{keys[0]} {keys[1]}"]
+def _values(text: str) -> Iterator[tuple[tuple[str, ...], int, int]]:
+    """(kinds, start, end) of every value that could be of a kind."""
+    found: list[tuple[int, int]] = []
+    for run in _NUMBERS.finditer(text):
+        numbers = [(run.start() + m.start(), run.start() + m.end()) for m in _NUMBER.finditer(run.group())]
+        found += numbers
+        digits, end = 0, numbers[-1][1]
+        for a, b in reversed(numbers[:-1]):  # a value may be several numbers, up to the end of the run
+            digits += len(_digits(text[a:b]))
+            if digits > 19:
+                break
+            found.append((a, end))
+    found += [m.span() for m in _MARKED.finditer(text)] if "@" in text else []
+    found += [m.span() for m in _COLONS.finditer(text) if m.group().count(":") >= 3] if text.count(":") >= 3 else []
+    for a, b in found:
+        while b > a and text[b - 1] in _ODD:
+            b -= 1
+        while a < b and text[a] in _OPEN and not (text[a] == "(" and ")" in text[a:b]):
+            a += 1
+        value = text[a:b]
+        kinds = tuple(k for k in KINDS if compatible(k, value))
+        if kinds:
+            yield kinds, a, b
+
+
+def _merged(spans: list) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of the spans."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _occurrences(text: str, base: list) -> Iterator[tuple[tuple[str, ...], int, int, bool]]:
+    """(kinds, start, end, whether a seed) of the instances: the base spans, and the values beside them."""
+    for kind, a, b in base:
+        yield (kind,), a, b, True
+    starts, ends = _merged(base)
+    for kinds, a, b in _values(text):
+        at = bisect_right(starts, b - 1)
+        if not at or ends[at - 1] <= a:
+            yield kinds, a, b, False
+
+
+def _named(value: str) -> str:
+    return value if len(value) <= LONG else hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _seeds(batches):
+def _key(token: str) -> str:
+    return _named(_DIGIT.sub("0", token.lower()))
+
+
+class _Around:
+    """The patterns around places of a text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = [m.span() for m in _TOKEN.finditer(text)]
+        self.starts = [a for a, _ in self.spans]
+
+    def of(self, a: int, b: int) -> list[str]:
+        text, spans = self.text, self.spans
+        i, j = bisect_right(self.starts, a) - 1, bisect_right(self.starts, b - 1) - 1
+        if any(map(str.isalnum, text[spans[i][0] : a])):
+            return []  # glued to a word
+        key = lambda k: _key(text[slice(*spans[k])])
+        right = key(j + 1) if j + 1 < len(spans) and not any(map(str.isalnum, text[b : spans[j][1]])) else None
+        out = [] if right is None else [f"r {right}"]
+        if i:
+            left = key(i - 1)
+            out.append(f"l {left}")
+            if right is not None:
+                out.append(f"b {left} {right}")
+            if i > 1:
+                second = key(i - 2)
+                out += [f"m {second} {left}", f"g {second}"]
+        return out
+
+
+def _instances(batches):
+    """(kind, pattern, value, seed, n) of the occurrences of instances."""
     for batch in batches:
         rows: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            for kind, a, b in base_spans(text or ""):
-                for pattern in _contexts(text, a):
-                    rows[kind, pattern, text[a : min(b, a + 64)]] += 1
-        yield _batch(rows, ("kind", "pattern", "value"))
-
-
-def _batch(rows: Counter, names: tuple[str, ...]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.string()) for c in columns), pa.array(list(rows.values()), pa.int64())], names=[*names, "n"])
-
-
-def _followers(text: str, patterns: dict[str, tuple[str, ...]]):
-    """(pattern, kinds, start, end) of the value behind each occurrence of a pattern."""
-    before = ""
-    for m in _TOKEN.finditer(text):
-        key = _key(m.group())
-        for pattern in (key, f"{before} {key}"):
-            if kinds := patterns.get(pattern):
-                at = m.end()
-                while at < len(text) and text[at].isspace():
-                    at += 1
-                v = _VALUE.match(text, at)
-                if v:
-                    end = v.end()
-                    while end > at + 1 and text[end - 1] in _ODD:
-                        end -= 1
-                    yield pattern, kinds, at, end
-        before = key
-
-
-def _plain(text: str) -> bool:
-    """No form and no compatible value can be in such a text."""
-    return "@" not in text and text.count(":") < 3 and not _DIGIT.search(text)
-
-
-def _ordinary(text: str, by_last: dict[str, dict[str, tuple[str, tuple[str, ...]]]], rows: Counter) -> None:
-    """Count what follows each pattern in a plain text: words, none of them an identifier."""
-    before, get = "", by_last.get
-    words = _TOKEN.findall(text.lower())
-    for word in words[:-1]:  # nothing follows the last one
-        key = word if len(word) <= _TAIL else word[-_TAIL:]
-        found = get(key)
-        if found is not None:
-            for one in (found.get(""), found.get(before)) if before else (found.get(""),):
-                if one is not None:
-                    for kind in one[1]:
-                        rows[kind, one[0], ""] += 1
-        before = key
-
-
-def _observed(batches, patterns: dict[str, tuple[str, ...]]):
-    by_last: dict[str, dict[str, tuple[str, tuple[str, ...]]]] = {}
-    for pattern, kinds in patterns.items():
-        first, _, last = pattern.rpartition(" ")
-        by_last.setdefault(last, {})[first] = (pattern, kinds)
+            if _plain(text):
+                continue
+            around = None
+            for kinds, a, b, seed in _occurrences(text, base_spans(text)):
+                around = around or _Around(text)
+                for pattern in around.of(a, b):
+                    for kind in kinds:
+                        rows[kind, pattern, _named(text[a:b]), seed] += 1
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        types = (pa.string(), pa.string(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(columns, types, strict=True)), pa.array(list(rows.values()), pa.int64())], names=["kind", "pattern", "value", "seed", "n"])
+
+
+def _counted(batches, patterns: list[str]):
+    """How often each pattern occurs with any token in its place."""
+    anchors: dict[str, list] = {}
+    for pattern in patterns:
+        sort, *keys = pattern.split(" ")
+        known = anchors.setdefault(keys[-1], [None, None, None, {}, {}])
+        if sort in "lgr":
+            known["lgr".index(sort)] = pattern
+        else:
+            known[3 if sort == "m" else 4][keys[0]] = pattern
     for batch in batches:
         rows: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            if not text:
-                continue
-            if _plain(text):
-                _ordinary(text, by_last, rows)
-                continue
-            starts = {(k, a): text[a : min(b, a + 64)] for k, a, b in base_spans(text)}
-            for pattern, kinds, a, b in _followers(text, patterns):
-                value = text[a : min(b, a + 64)]
-                for kind in kinds:
-                    seed = starts.get((kind, a))
-                    rows[kind, pattern, seed or (value if compatible(kind, value) else "")] += 1
-        yield _batch(rows, ("kind", "pattern", "value"))
+            low = text.lower()
+            words = [w if len(w) <= LONG else _named(w) for w in _TOKEN.findall(_DIGIT.sub("0", low) if _DIGIT.search(low) else low)]
+            last = len(words) - 1
+            for p in [p for p, w in enumerate(words) if w in anchors]:
+                left, gap, right, pairs, both = anchors[words[p]]
+                if p < last:
+                    if left is not None:
+                        rows[left] += 1
+                    if gap is not None and p + 1 < last:
+                        rows[gap] += 1
+                    if pairs and p and (found := pairs.get(words[p - 1])) is not None:
+                        rows[found] += 1
+                if p:
+                    if right is not None:
+                        rows[right] += 1
+                    if both and p > 1 and (found := both.get(words[p - 2])) is not None:
+                        rows[found] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64())], names=["pattern", "n"])
+
+
+def _scores(edges: DataFrame, min_support: int, confidence: float, rounds: int) -> DataFrame:
+    """(kind, pattern) of high confidence after so many rounds, or as soon as no score moves. Edges: kind, pattern, value, seed, rest."""
+    seed = F.when(F.col("seed"), 1.0).otherwise(0.0)
+    now, before = edges.withColumn("worth", seed), None
+    for _ in range(rounds):
+        enough = F.sum(F.when(F.col("worth") >= confidence, 1).otherwise(0)) >= min_support
+        scores = now.groupBy("kind", "pattern").agg((F.sum("worth") / (F.count(F.lit(1)) + F.max("rest"))).alias("score"), enough.alias("enough"))
+        scores = materialize(scores.where("enough").drop("enough"), "scores")
+        mark = scores.agg(F.count(F.lit(1)), F.round(F.sum("score"), 2)).first()
+        if mark == before:
+            break
+        before = mark
+        best = edges.join(scores, ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("score").alias("best"))
+        now = edges.join(best, ["kind", "value"], "left").withColumn("worth", F.greatest(seed, F.coalesce("best", F.lit(0.0))))
+    return scores.where(F.col("score") >= confidence).select("kind", "pattern")
 
 
 def patterns(docs: DataFrame, text_col: str = "text", *, min_support: int = MIN_SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> Iterator[dict[str, tuple[str, ...]]]:
     """The patterns of high confidence in blocks, each with the kinds it stands for; one empty block if there are none."""
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    seeds = materialize(texts.mapInArrow(_seeds, "kind string, pattern string, value string, n bigint").groupBy("kind", "pattern", "value").agg(F.sum("n").alias("n")), "seeds")
-    strong = seeds.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= min_support).select("kind", "pattern")
+    found = texts.mapInArrow(_instances, "kind string, pattern string, value string, seed boolean, n bigint")
+    edges = found.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
+    edges = materialize(edges, "instances")
+    hopeful = materialize(edges.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("inside")).where(F.col("values") >= min_support), "hopeful")
     parts = []
-    for cues in _blocks(strong):
-        shared = docs.sparkSession.sparkContext.broadcast(cues)
-        seen = texts.mapInArrow(lambda b, shared=shared: _observed(b, shared.value), "kind string, pattern string, value string, n bigint")
-        parts.append(materialize(seen.groupBy("kind", "pattern", "value").agg(F.sum("n").alias("n")), "graph"))
-    if not parts:
-        yield {}
-        return
-    edges = reduce(DataFrame.unionByName, parts)
-    known = seeds.select("kind", "value").distinct().withColumn("seed", F.lit(1.0))
-    edges = materialize(edges.join(known, ["kind", "value"], "left"), "graph")
-    # words that are no identifier count once for each occurrence and are never worth anything
-    size = F.sum(F.when(F.col("value") == "", F.col("n")).otherwise(1))
-    scores = edges.groupBy("kind", "pattern").agg((F.sum(F.coalesce("seed", F.lit(0.0))) / size).alias("score"))
-    for _ in range(rounds):
-        scores = materialize(scores, "scores")
-        linked = edges.join(scores, ["kind", "pattern"]).where("value <> ''")
-        worth = linked.groupBy("kind", "value").agg(F.coalesce(F.max("seed"), 1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("worth"))
-        scores = edges.join(worth, ["kind", "value"], "left").groupBy("kind", "pattern").agg((F.sum(F.coalesce("worth", F.lit(0.0))) / size).alias("score"))
+    for cues in _blocks(hopeful.select("kind", "pattern")):
+        shared = docs.sparkSession.sparkContext.broadcast(sorted(cues))
+        seen = texts.mapInArrow(lambda b, shared=shared: _counted(b, shared.value), "pattern string, n bigint")
+        parts.append(seen.groupBy("pattern").agg(F.sum("n").alias("times")))
     none = True
-    for block in _blocks(materialize(scores.where(F.col("score") >= confidence).select("kind", "pattern"), "patterns")):
-        none = False
-        yield block
+    if parts:
+        times = materialize(reduce(DataFrame.unionByName, parts), "times")
+        rest = hopeful.join(times, "pattern").withColumn("rest", F.greatest(F.col("times") - F.col("inside"), F.lit(0)))
+        # a pattern with too many other words in its place is worth nothing whatever its instances are worth
+        rest = rest.where(F.col("values") >= confidence * (F.col("values") + F.col("rest"))).select("kind", "pattern", "rest")
+        counted = materialize(edges.join(rest, ["kind", "pattern"]), "edges")
+        for block in _blocks(_scores(counted, min_support, confidence, rounds)):
+            none = False
+            yield block
     if none:
         yield {}
 
@@ -239,14 +318,22 @@ def _as_dict(rows: DataFrame) -> dict[str, tuple[str, ...]]:
 def all_spans(text: str, found: dict[str, tuple[str, ...]], more: str = "") -> tuple[list, list]:
     """Base spans, and all spans: those and what patterns of high confidence add beside them, or have added (``more``)."""
     base = base_spans(text)
-    if not found and not more:
+    added = {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in more.split(",") if s)}
+    if found and not _plain(text):
+        around = None
+        for kinds, a, b, seed in _occurrences(text, base):
+            if not seed:
+                around = around or _Around(text)
+                told = {kind for pattern in around.of(a, b) for kind in found.get(pattern, ())}
+                added |= {(kind, a, b) for kind in kinds if kind in told}
+    if not added:
         return base, base
-    taken, added = sorted((a, b) for _, a, b in base), {(k, int(a), int(b)) for k, a, b in (s.split(":") for s in more.split(",") if s)}
-    for _, kinds, a, b in _followers(text, found):
-        if not any(x < b and a < y for x, y in taken):
-            added |= {(kind, a, b) for kind in kinds if compatible(kind, text[a:b])}
     order = {k: i for i, k in enumerate(KINDS)}
-    return base, sorted({*base, *added}, key=lambda s: (order[s[0]], s[1], s[2]))
+    kept: list = []
+    for kind, a, b in sorted(added, key=lambda s: (order[s[0]], s[1], -s[2])):
+        if not kept or kept[-1][0] != kind or kept[-1][2] <= a:
+            kept.append((kind, a, b))
+    return base, sorted({*base, *kept}, key=lambda s: (order[s[0]], s[1], s[2]))
 
 
 def _text(spans: list) -> str:

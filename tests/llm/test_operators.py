@@ -86,17 +86,103 @@ def test_pii_keeps_rare_contexts_of_a_large_corpus(spark, monkeypatch):
     assert {r[0]: r[-1] for r in results[0]}[99] == 1
 
 
-def test_pii_plain_pass_counts_what_the_full_one_counts(docs):
-    cues = {"the": ("phone",), "of the": ("card", "ip"), "la": ("email",)}
-    by_last = {"the": {"": ("the", ("phone",)), "of": ("of the", ("card", "ip"))}, "la": {"": ("la", ("email",))}}
-    for _, t in pairs(docs):
-        if t and pii._plain(t):
-            fast, slow = collections.Counter(), collections.Counter()
-            pii._ordinary(t, by_last, fast)
-            for p, kinds, _, _ in pii._followers(t, cues):
-                for k in kinds:
-                    slow[k, p, ""] += 1
-            assert fast == slow
+CUES = {  # cues of each kind: beside seeds, and beside values that only other patterns discover
+    "phone": ("hotline {}", "{} ringable", "dial at once {}", "<< {} >>"), "card": ("charge {}", "{} expiring", "paid with my {}", "visa {} today"),
+    "ip": ("host {}", "{} pinged", "server named alpha {}", "via {} hop"), "email": ("mailto {}", "{} wrote", "reply to user {}", "from {} sent"),
+}
+
+
+def identifiers(kind, rng):
+    """(an exact form, a compatible form that the exact one misses)."""
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    if kind == "phone":
+        return f"+1 555 {d(3)} {d(4)}", f"555-{d(4)}-{d(2)}"
+    if kind == "card":
+        body = d(15)
+        good = next(body + c for c in "0123456789" if pii.luhn(body + c))
+        return good, next(body + c for c in "0123456789" if not pii.luhn(body + c))
+    if kind == "ip":
+        return ".".join(str(rng.randint(1, 255)) for _ in range(4)), ":".join(f"{rng.randint(0, 65535):x}" for _ in range(8))
+    name = "".join(rng.choice("abcdefgh") for _ in range(6))
+    return f"{name}@example.org", f"{name}@intranet"
+
+
+def test_pii_discovers_what_the_cues_tell(spark):
+    rng = random.Random(21)
+    filler = lambda: " ".join("".join(rng.choice("klmnopqrst") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(3, 9)))
+    rows, planted, decoys = [], {}, set()
+    for kind, cues in CUES.items():
+        for cue in cues[:3]:
+            for _ in range(12):
+                rows.append(f"{filler()} {cue.format(identifiers(kind, rng)[0])} {filler()}")
+        for n in range(40):
+            hidden = identifiers(kind, rng)[1]
+            planted[hidden] = kind
+            rows.append(f"{filler()} {cues[n % 3].format(hidden)} {filler()}")
+            if n < 12:  # discovered above, and again in a place that no seed stands in
+                rows.append(f"{filler()} {cues[3].format(hidden)} {filler()}")
+        for _ in range(30):  # reachable only by the place that discovered values teach
+            hidden = identifiers(kind, rng)[1]
+            planted[hidden] = kind
+            rows.append(f"{filler()} {cues[3].format(hidden)} {filler()}")
+        for _ in range(40):
+            other = identifiers(kind, rng)[1]
+            decoys.add(other)
+            rows.append(f"{filler()} total of {other} {filler()}")
+    rows += [f"{filler()} total of {filler()}" for _ in range(200)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    got = pii.find(df).collect()
+    found = {}
+    for r in got:
+        base = forms(rows[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        for k, a, b in (x.split(":") for x in r.spans.split(",") if x):
+            if (k, int(a), int(b)) not in base:
+                found.setdefault(rows[r.doc_id][int(a) : int(b)], set()).add(k)
+    right = sum(v in planted and planted[v] in kinds for v, kinds in found.items())
+    assert right >= 0.9 * len(planted) and right >= 0.9 * len(found), (right, len(found), len(planted))
+    assert len(decoys & set(found)) <= 0.05 * len(decoys)
+    last = {rows.index(x): x for x in rows if "<< " in x}
+    assert sum(r.n_added > 0 for r in got if r.doc_id in last) >= 0.9 * len(last)
+    one = next(pii.patterns(df, rounds=1))
+    more = next(pii.patterns(df))
+    assert "b << >>" not in one and "b << >>" in more
+
+
+def test_pii_counts_of_patterns_by_brute_force(docs):
+    texts = [t[:3000] for _, t in pairs(docs)[:60] if t] + ["a", "", "a b", "a: b=c d", "the 12 the 13 the", "x" * 100 + " y " + "x" * 100]
+    want = collections.Counter()
+    for t in texts:
+        w = [pii._key(x) for x in pii._TOKEN.findall(t)]
+        for p in range(len(w)):
+            if p:
+                want[f"l {w[p - 1]}"] += 1
+            if p > 1:
+                want.update([f"m {w[p - 2]} {w[p - 1]}", f"g {w[p - 2]}"])
+            if p + 1 < len(w):
+                want.update([f"r {w[p + 1]}"] + [f"b {w[p - 1]} {w[p + 1]}"] * (p > 0))
+    import pyarrow as pa
+
+    (got,) = pii._counted([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])], sorted(want))
+    assert dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist())) == want
+
+
+def test_pii_time_is_linear_in_the_spans():
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        text = " ".join(f"mail a{i}@example.org or 555-0{i:05d}-88 and +1 555 010 {i:05d}." for i in range(n))
+        began = time.perf_counter()
+        _, every = pii.all_spans(text, {"l mail": ("email",), "l or": ("phone",)})
+        took.append(time.perf_counter() - began)
+        assert len(every) == 3 * n
+    assert took[1] < 24 * took[0]
+    began = time.perf_counter()
+    pii.all_spans("1 " * 200_000 + "a", {"l 0": ("card",)})
+    pii.all_spans("1" * 200_000 + "a " + "@" * 100_000 + ":" * 100_000, {"l 0": ("card",)})
+    assert time.perf_counter() - began < 20
 
 
 # 2
