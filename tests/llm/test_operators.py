@@ -498,7 +498,6 @@ def test_e8_points_are_nearest():
 
 
 def test_vectors_link_as_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lattice, "BLOCK_ROWS", 64)
     rng = np.random.default_rng(1)
     base = rng.normal(size=(150, 32))
     near = np.repeat(base[:20], 12, axis=0) + rng.normal(size=(240, 32)) * 0.12
@@ -506,21 +505,44 @@ def test_vectors_link_as_by_brute_force(spark, monkeypatch):
     x = np.vstack([base, near, hub, base[:5], base[:5], 3 * base[5:8]]).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(9001, None), (9002, []), (9003, [0.0] * 32), (9004, [float("nan")] * 32), (9005, [1.0, None]), (9006, [1.0, 2.0]), (None, [float("inf")] * 32)]
-    got = lattice.near_duplicates(spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS n", "2 AS rid")).collect()
+    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS n", "2 AS rid", "3 AS cell", "4 AS codes", "'v' AS vec", "5 AS low", "6 AS parts")
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     link = unit @ unit.T >= 0.9
     np.fill_diagonal(link, False)
     root = roots(len(x), [(a, b) for a, b in zip(*np.nonzero(link)) if a < b])
-    by = {r.vec_id: r for r in got if r.vec_id is not None and r.vec_id < 9000}
-    found = sum(by[i].n_links for i in range(len(x)))
-    assert all(by[i].n_links <= link[i].sum() for i in range(len(x)))
-    assert found >= 0.97 * link.sum()
-    assert sum(by[i].component_id == root[i] for i in range(len(x))) >= 0.99 * len(x)
-    assert all(r.n_links == 0 for r in got if r.vec_id is None or r.vec_id > 9000)
-    assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+    results = []
+    for rows_a_block in (lattice.BLOCK_ROWS, 16):  # the smaller one splits the hub's cells
+        monkeypatch.setattr(lattice, "BLOCK_ROWS", rows_a_block)
+        got = lattice.near_duplicates(df).collect()
+        by = {r.vec_id: r for r in got if r.vec_id is not None and r.vec_id < 9000}
+        found = sum(by[i].n_links for i in range(len(x)))
+        assert all(by[i].n_links <= link[i].sum() for i in range(len(x)))
+        assert found >= 0.97 * link.sum()
+        assert sum(by[i].component_id == root[i] for i in range(len(x))) >= 0.99 * len(x)
+        assert all(r.n_links == 0 for r in got if r.vec_id is None or r.vec_id > 9000)
+        assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+        results.append(sorted(map(str, got)))
+    assert results[0] == results[1]
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_recall_of_the_closest_call(spark):
+    """Pairs planted at cosines of 0.900 to 0.905, none of them below."""
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(600, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=(600, 64))
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9001, 0.905, size=(600, 1))
+    x = np.vstack([a, c * a + np.sqrt(1 - c * c) * side])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in lattice.near_duplicates(df).collect()}
+    assert sum(got[i] > 0 for i in range(600)) >= 0.95 * 600
+    more = {r.vec_id: r.n_links for r in lattice.near_duplicates(df, scheme=lattice.Scheme(tables=9)).collect()}
+    assert sum(more[i] > 0 for i in range(600)) >= 0.99 * 600
+
+
 # 10
 def test_longest_common_subsequence(monkeypatch):
     rng = random.Random(6)
