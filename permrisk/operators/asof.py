@@ -13,16 +13,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(facts: DataFrame, keys: list[str], day: str, sums: dict[str, Column], lasts: dict[str, Column], asked: DataFrame) -> DataFrame:
-    """For each (key, day) of ``asked``: totals of ``sums`` over all earlier days, and the latest ``lasts`` of an earlier day.
+def running(
+    facts: DataFrame, keys: list[str], day: str, sums: dict[str, Column], lasts: dict[str, Column], asked: DataFrame, *, most: dict[str, Column] | None = None, least: dict[str, Column] | None = None
+) -> DataFrame:
+    """For each (key, day) of ``asked``: totals of ``sums`` over all earlier days, the latest ``lasts`` of an earlier day, and extremes of ``most`` and ``least``.
 
     ``asked`` has the keys and a column ``day``; null days ask nothing, facts without a day are not seen by any.
     """
-    daily = facts.where(F.col(day).isNotNull()).groupBy(*keys, F.col(day).alias("__day")).agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[c.alias(n) for n, c in lasts.items()])
+    most, least = most or {}, least or {}
+    daily = facts.where(F.col(day).isNotNull()).groupBy(*keys, F.col(day).alias("__day")).agg(
+        *[F.sum(c).alias(n) for n, c in sums.items()], *[c.alias(n) for n, c in lasts.items()], *[F.max(c).alias(n) for n, c in most.items()], *[F.min(c).alias(n) for n, c in least.items()]
+    )
     days = asked.where("day IS NOT NULL").select(*keys, F.col("day").alias("__day"), F.lit(True).alias("__asked")).distinct()
     both = daily.join(days, [*keys, "__day"], "full")
     before = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    state = both.select(*keys, F.col("__day").alias(day), "__asked", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums], *[F.last(n, ignorenulls=True).over(before).alias(n) for n in lasts])
+    state = both.select(*keys, F.col("__day").alias(day), "__asked", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums], *[F.last(n, ignorenulls=True).over(before).alias(n) for n in lasts], *[F.max(n).over(before).alias(n) for n in most], *[F.min(n).over(before).alias(n) for n in least])
     return state.where("__asked").drop("__asked")
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from permrisk.plans.graph import query
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from permrisk.operators.ranks import running_total
+from permrisk.plans.graph import frame, query
 
 CUTOFF = "DATE '1999-01-01'"
 SETTLED = "outcome NOT IN ('pending', 'withdrawn')"
@@ -63,7 +67,36 @@ def hazard_panel(d):
     LEFT JOIN near n ON n.county_id = r.county_id AND n.month = r.month LEFT JOIN vote_on v ON v.county_id = r.county_id AND v.month = r.month"""
 
 
-def metrics(d):
+def area_under_curve(rows: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """One row with the rank form of the area, ties counted half, and the numbers of both classes; null on one class."""
+    tied = rows.groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("pos"))
+    ranked = running_total(tied, F.col("p"), [], F.col("n"), "below")
+    sums = ranked.agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("ranks"), F.sum("pos").cast("double").alias("pos"), F.sum("n").cast("double").alias("n"))
+    return sums.select(F.try_divide(F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos"))).alias("auc"), "pos", "n")
+
+
+def proper_scores(rows: DataFrame, reference: Column | None = None) -> list:
+    """Aggregates of p, y, lo and hi: Brier score, its reference, log loss and strict coverage."""
+    p, y = F.col("p").cast("double"), F.col("y").cast("double")
+    clip = lambda x: F.log(F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), x)))
+    rate = F.col("rate") if reference is None else reference
+    return [
+        F.count(F.lit(1)).alias("n"), F.avg((p - y) * (p - y)).alias("brier"), F.avg((rate - y) * (rate - y)).alias("reference"), (-F.avg(y * clip(p) + (1 - y) * clip(1 - p))).alias("log_loss"),
+        F.avg(F.when(F.col("y") == 1, F.col("hi") >= 0.5).otherwise(F.col("lo") <= 0.5).cast("double")).alias("coverage"),
+    ]
+
+
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proper scores and coverage in one pass, and the area under the curve without one task that orders all scores."""
+    rows = frame(spark, sf_dir, "scored")
+    rate = rows.agg(F.avg(F.col("y").cast("double")).alias("rate"))
+    one = rows.join(F.broadcast(rate)).agg(*proper_scores(rows)).join(area_under_curve(rows).select("auc"))
+    return one.select(
+        "n", F.round("brier", 6).alias("brier"), F.round(1 - F.try_divide("brier", "reference"), 6).alias("brier_skill"), F.round("log_loss", 6).alias("log_loss"), F.round("auc", 6).alias("auc"), F.round("coverage", 6).alias("coverage")
+    )
+
+
+def _metrics(d):
     """Proper scores and coverage in one pass; the rank form of the area under the curve gives ties half."""
     return """
     WITH tied AS (SELECT p, count(*) AS n, count(*) FILTER (WHERE y = 1) AS pos FROM scored GROUP BY p),
@@ -92,7 +125,25 @@ def calibration_error(d):
            bool_and(n < 5 OR abs(predicted - observed) <= 0.10) AS worst_bin_within FROM got"""
 
 
-def binned_coverage(d):
+def coverage_bins(rows: DataFrame, key: str) -> DataFrame:
+    """Equal-count groups by interval midpoint; the groups with the remainder come first. Groups under eight rows are dropped."""
+    size = rows.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.greatest(F.lit(1), F.least(F.lit(12), F.floor(F.col("n") / 8))))
+    placed = running_total(rows, (F.col("lo") + F.col("hi")) / 2, [F.col(key)], F.lit(1), "i").join(F.broadcast(size))
+    n, k, i = F.col("n"), F.col("k"), F.col("i")
+    small, extra = F.floor(n / k), n % k
+    group = F.when(i < extra * (small + 1), F.floor(i / (small + 1))).otherwise(extra + F.floor((i - extra * (small + 1)) / small))
+    y = F.avg(F.col("y").cast("double"))
+    return placed.groupBy(group.cast("bigint").alias("grp")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(y, 6).alias("observed"), F.round(F.avg("lo"), 6).alias("low"), F.round(F.avg("hi"), 6).alias("high"), y.between(F.avg("lo"), F.avg("hi")).alias("covered")
+    ).where("n >= 8")
+
+
+def binned_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame(spark, sf_dir, "scored")
+    return coverage_bins(rows.select("doc_id", "y", F.col("lo").cast("double"), F.col("hi").cast("double")), "doc_id")
+
+
+def _binned_coverage(d):
     """Equal-count groups by interval midpoint; the groups with the remainder come first."""
     return """
     WITH size AS (SELECT greatest(1, least(12, CAST(floor(count(*) / 8.0) AS INT))) AS k, count(*) AS n FROM scored),
@@ -168,5 +219,5 @@ def competing_risks(d):
 
 QUERIES = {
     f.__name__: query(f)
-    for f in (base_rate_levels, base_rate_predict, hazard_panel, metrics, reliability, calibration_error, binned_coverage, wilson, abstention_precision, residual_notes, sufficiency, temporal_split, coverage_gate, column_summary, competing_risks)
-}
+    for f in (base_rate_levels, base_rate_predict, hazard_panel, reliability, calibration_error, wilson, abstention_precision, residual_notes, sufficiency, temporal_split, coverage_gate, column_summary, competing_risks)
+} | {"metrics": (metrics, query(_metrics)[1]), "binned_coverage": (binned_coverage, query(_binned_coverage)[1])}

@@ -10,11 +10,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permrisk.operators.asof import look_up, moments, running
+from permrisk.operators.intervals import in_force
 from permrisk.plans.dialect import Oracle
 from permrisk.plans.graph import frame, query, statement
 
 
-def law(d):
+USES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+OVERLAYS, PROCESSES, RESTRICTIVE = ("overlay", "interim"), ("resolution", "comprehensive_plan"), ("moratorium", "overlay", "interim", "ordinance")
+
+
+def _instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruments by the use they apply to; one without a use applies to all."""
+    every = F.when(F.col("applies_to").isNull(), F.array(*map(F.lit, USES))).otherwise(F.array("applies_to"))
+    return frame(spark, sf_dir, "instrument").withColumn("county_id", F.col("county_id").cast("bigint")).withColumn("use_class", F.explode(every))
+
+
+def law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules in force on the day of filing, and how long ago the last one was adopted."""
+    cell = ["county_id", "use_class"]
+    subjects, laws = frame(spark, sf_dir, "application"), _instruments(spark, sf_dir)
+    days = subjects.select(*cell, F.col("filed_on").alias("day")).distinct()
+    is_a = lambda *kinds: F.col("kind").isin(*kinds)
+    when = lambda c, x: F.when(c, x)
+    live = in_force(
+        days, laws, cell, "adopted_on", "expires_on",
+        most={"moratorium": when(is_a("moratorium"), F.lit(1)), "overlay": when(is_a(*OVERLAYS), F.lit(1)), "process_on": when(is_a(*PROCESSES), F.col("adopted_on"))},
+        least={"ends_on": when(is_a("moratorium"), F.col("expires_on")), "setback_ft": F.col("setback_ft")},
+    )
+    following = live.select(*cell, F.date_add("day", 1).alias("day"))
+    changed = running(laws, cell, "adopted_on", {}, {"changed_on": F.max("adopted_on")}, following)
+    state = look_up(live, changed, cell, F.date_add("day", 1), "adopted_on", "", ["changed_on"]).withColumnRenamed("day", "filed_on")
+    relief = frame(spark, sf_dir, "relief")
+    rows = subjects.join(state, [*cell, "filed_on"]).join(frame(spark, sf_dir, "county").select("county_id", "framework"), "county_id").join(relief, "application_id", "left")
+    since = F.datediff("filed_on", "changed_on")
+    asked = F.size(F.array_intersect("relief", F.array(F.lit("A"), F.lit("R"))))
+    return rows.select(
+        "application_id", "by_right", F.col("moratorium").isNotNull().alias("moratorium_active"), F.col("overlay").isNotNull().alias("overlay_present"),
+        F.coalesce(F.col("process_on") >= F.add_months("filed_on", -18), F.lit(False)).alias("open_rule_process"), since.cast("bigint").alias("days_since_rule_change"), (since <= 180).alias("rule_changed_within_180d"),
+        F.round(F.datediff("ends_on", "filed_on") / F.lit(30.44), 6).alias("months_to_moratorium_expiry"), F.round((F.col("application_id") % 1000) * F.lit(3.28084) - F.col("setback_ft"), 6).alias("setback_compliance_margin_ft"),
+        F.when(F.col("framework").isNotNull(), F.col("framework") == "home_rule").alias("home_rule"), F.when(F.col("staff").isNotNull(), F.col("staff").isin("approve", "approve_with_conditions")).alias("staff_recommended_approval"),
+        F.coalesce(F.nullif(asked, F.lit(0)), F.size("relief"), F.lit(1)).cast("bigint").alias("relief_count"),
+    )
+
+
+def _law(d):
     live = "(i.expires_on IS NULL OR i.expires_on > m.t)"
     any_of = lambda c: f"coalesce(bool_or({c} AND {live}), false)"
     return f"""
@@ -48,7 +87,20 @@ def elections(d):
     FROM application a JOIN upcoming u ON u.county_id = a.county_id AND u.t = a.filed_on LEFT JOIN seats s ON s.county_id = a.county_id"""
 
 
-def contagion(d):
+def contagion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours whose latest restriction for the use lies within 24 months before the filing: an older one cannot matter."""
+    cell = ["county_id", "use_class"]
+    subjects = frame(spark, sf_dir, "application")
+    near = frame(spark, sf_dir, "adjacency")
+    pairs = subjects.select("county_id", "use_class", F.col("filed_on").alias("day")).distinct().join(near, "county_id").withColumnRenamed("county_id", "own_id").withColumnRenamed("neighbour_id", "county_id")
+    laws = _instruments(spark, sf_dir).where(F.col("kind").isin(*RESTRICTIVE))
+    state = running(laws, cell, "adopted_on", {}, {"last": F.max("adopted_on")}, pairs)
+    seen = look_up(pairs, state, cell, F.col("day"), "adopted_on", "", ["last"])
+    counted = seen.groupBy(F.col("own_id").alias("county_id"), "use_class", F.col("day").alias("filed_on")).agg(F.count_if(F.col("last") >= F.add_months("day", -24)).alias("n"))
+    return subjects.join(counted, [*cell, "filed_on"], "left").select("application_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("neighbour_contagion"))
+
+
+def _contagion(d):
     return f"""
     WITH moment AS (SELECT DISTINCT county_id, use_class, filed_on AS t FROM application),
     near AS (
@@ -67,7 +119,25 @@ def site(d):
            application_id % 4 = 0 AS prior_industrial_use FROM application"""
 
 
-def applicant(d):
+def applicant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The applicant's settled decisions before the filing, anywhere and in the county, as running totals."""
+    subjects = frame(spark, sf_dir, "application")
+    facts = subjects.where("decided_on IS NOT NULL AND outcome NOT IN ('withdrawn', 'pending')")
+    approved = F.when(F.col("outcome").isin("approved", "approved_with_conditions"), 1).otherwise(0)
+    own = (F.coalesce(F.col("decided_on") < F.col("filed_on"), F.lit(False)) & ~F.col("outcome").isin("withdrawn", "pending")).cast("int")
+    rows = subjects.select("application_id", "applicant_id", "county_id", "filed_on", "decided_on", "outcome")
+    anywhere = running(facts, ["applicant_id"], "decided_on", {"n": F.lit(1), "ok": approved}, {}, moments(subjects, ["applicant_id"], F.col("filed_on")))
+    local = running(facts, ["applicant_id", "county_id"], "decided_on", {"local_n": F.lit(1)}, {}, moments(subjects, ["applicant_id", "county_id"], F.col("filed_on")))
+    now = look_up(rows, anywhere.withColumnRenamed("decided_on", "until"), ["applicant_id"], F.col("filed_on"), "until", "", ["n", "ok"])
+    now = look_up(now, local.withColumnRenamed("decided_on", "until"), ["applicant_id", "county_id"], F.col("filed_on"), "until", "", ["local_n"])
+    less = lambda c, x: F.coalesce(c, F.lit(0)) - x
+    return now.select(
+        "application_id", F.round(F.try_divide(less("ok", own * approved), less("n", own)), 6).alias("applicant_track_record"), less("local_n", own).cast("bigint").alias("applicant_local_experience"),
+        (F.col("applicant_id") % 13 == 0).alias("entity_opacity"),
+    )
+
+
+def _applicant(d):
     return """
     WITH own AS (
         SELECT s.application_id, count(p.application_id) AS n, count(*) FILTER (WHERE p.outcome IN ('approved', 'approved_with_conditions')) AS ok,
@@ -160,6 +230,6 @@ BOARD_SQL = statement("""
     FROM application a LEFT JOIN board b ON b.county_id = a.county_id AND b.use_class = a.use_class AND b.t = a.filed_on""", Oracle)
 
 QUERIES = {
-    "features_law": query(law), "features_elections": query(elections), "features_contagion": query(contagion), "features_site": query(site), "features_applicant": query(applicant),
+    "features_law": (law, query(_law)[1]), "features_elections": query(elections), "features_contagion": (contagion, query(_contagion)[1]), "features_site": query(site), "features_applicant": (applicant, query(_applicant)[1]),
     "features_opposition": (opposition, OPPOSITION_SQL), "features_board": (board, BOARD_SQL),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from permrisk.plans.evaluation import OK, SETTLED, _shrunk
+from permrisk.plans.evaluation import CUTOFF, OK, SETTLED, _shrunk
 from permrisk.plans.graph import query
 
 
@@ -11,25 +11,27 @@ def _scored(d):
     return f"""
     {_shrunk(d).strip()},
     fresh AS (SELECT county_id, max(last_success) AS last_success FROM source GROUP BY county_id),
+    seen AS (SELECT c.region_id, count(DISTINCT {OK}) AS classes FROM application a JOIN county c ON c.county_id = a.county_id WHERE {SETTLED} AND a.decided_on < {CUTOFF} AND a.use_class <> 'MACHINERY' GROUP BY c.region_id),
     ready AS (
         SELECT a.application_id, a.county_id, a.use_class, a.capacity_mw, a.acres, coalesce(p3.p, p2.p, p1.p, w.mu) AS p, coalesce(p3.pooling, 1.0) AS pooling, CAST(coalesce(p3.n, 0) AS BIGINT) AS n,
                least(1.0, coalesce(p3.p, p2.p, p1.p, w.mu) + 1 / sqrt(coalesce(p3.n, 0) + 2)) - greatest(0.0, coalesce(p3.p, p2.p, p1.p, w.mu) - 1 / sqrt(coalesce(p3.n, 0) + 2)) AS width,
-               a.application_id % 50 <> 7 AS resolved, {d.days("DATE '2024-06-01'", 'CAST(f.last_success AS DATE)')} - a.application_id % 100 AS stale_days
-        FROM application a JOIN county c ON c.county_id = a.county_id CROSS JOIN whole w LEFT JOIN fresh f ON f.county_id = a.county_id
+               greatest(0.0, coalesce(p3.p, p2.p, p1.p, w.mu) - 1 / sqrt(coalesce(p3.n, 0) + 2)) AS low, least(1.0, coalesce(p3.p, p2.p, p1.p, w.mu) + 1 / sqrt(coalesce(p3.n, 0) + 2)) AS high,
+               CASE WHEN a.application_id % 41 = 3 THEN 1 ELSE coalesce(s.classes, 0) END AS classes, a.application_id % 50 <> 7 AS resolved, {d.days("DATE '2024-06-01'", 'CAST(f.last_success AS DATE)')} - a.application_id % 100 AS stale_days
+        FROM application a JOIN county c ON c.county_id = a.county_id CROSS JOIN whole w LEFT JOIN fresh f ON f.county_id = a.county_id LEFT JOIN seen s ON s.region_id = c.region_id
         LEFT JOIN p1 ON p1.use_class = a.use_class LEFT JOIN p2 ON p2.region_id = c.region_id AND p2.use_class = a.use_class LEFT JOIN p3 ON p3.county_id = a.county_id AND p3.use_class = a.use_class
         WHERE a.outcome = 'pending')"""
 
 
-REASON = """CASE WHEN NOT resolved THEN 'unresolved_jurisdiction_chain' WHEN stale_days > 90 THEN 'stale_jurisdiction_data' WHEN n < 3 AND pooling > 0.8 AND width > 0.35 THEN 'thin_local_record' END"""
+REASON = """CASE WHEN NOT resolved THEN 'unresolved_jurisdiction_chain' WHEN classes < 2 THEN 'degenerate_training_corpus' WHEN stale_days > 90 THEN 'stale_jurisdiction_data' WHEN n < 3 AND pooling > 0.8 AND width > 0.35 THEN 'thin_local_record' END"""
 
 
 def abstention(d):
-    """Rules in order: who decides is unknown, data are stale, the record is thin and borrowed and wide; limits are strict."""
+    """Rules in order: who decides is unknown, all known decisions went one way, data are stale, the record is thin and borrowed and wide; limits are strict."""
     return f"""
     WITH {_scored(d).strip()}
     SELECT application_id, {REASON} AS reason, {REASON} IS NOT NULL AS abstained, CASE WHEN {REASON} IS NULL THEN round(p, 6) END AS probability, round(width, 6) AS width,
            CASE WHEN width <= 0.18 AND pooling <= 0.4 AND n >= 8 THEN 'high' WHEN width <= 0.30 AND pooling <= 0.7 AND n >= 3 THEN 'medium' ELSE 'low' END AS confidence,
-           coalesce(stale_days > 45, false) AS stale_flag, pooling >= 0.2 AS discloses_pooling
+           coalesce(stale_days > 14, false) AS stale_flag, pooling >= 0.2 AS discloses_pooling
     FROM ready"""
 
 
