@@ -33,6 +33,8 @@ THRESHOLD = 2
 SHINGLE = 3
 SEED = 42
 HOMES_A_TASK = 4096
+#: fingerprints that one task sends out; each of them goes to some 60 anchors
+SENT_A_TASK = 1 << 16
 HOT_ANCHORS = 1 << 16
 PAIRS_AT_ONCE = 1 << 22
 BLOCK = 23
@@ -168,15 +170,18 @@ def link_fingerprints(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints ``fp`` within ``threshold`` bits."""
     total = fps.count()
     limit = max(HOMES_A_TASK, total // HOT_ANCHORS)
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SENT_A_TASK))
+    # by a hash of its own: the grouping by fp would satisfy, and its few large partitions be kept
+    fps = fps.select("fp").repartition(tasks, F.xxhash64("fp"))
 
     def homes(batches):
         for batch in batches:
             i, where, home = anchors(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 0)
             yield pa.RecordBatch.from_arrays([pa.array(where[home], pa.int64())], names=["anchor"])
 
-    hot = fps.select("fp").mapInArrow(homes, "anchor bigint").groupBy("anchor").count().where(F.col("count") > limit)
+    hot = fps.mapInArrow(homes, "anchor bigint").groupBy("anchor").count().where(F.col("count") > limit)
     parts = {r["anchor"]: -(-r["count"] // limit) for r in hot.collect()}
-    spread = fps.select("fp").mapInArrow(lambda b: _spread(b, parts, threshold), "anchor bigint, fp bigint, home boolean")
+    spread = fps.mapInArrow(lambda b: _spread(b, parts, threshold), "anchor bigint, fp bigint, home boolean")
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _compare(b, threshold), "a bigint, b bigint")
 
 
