@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permrisk.plans.evaluation import hazard_panel as panel_sql
-from permrisk.plans.graph import frame, query
+from permrisk.plans.dialect import Oracle
+from permrisk.plans.graph import frame, query, statement
 
 LEAST_PLATT, LEAST_ISOTONIC = 20, 100
 APPROVALS = ("approved", "approved_with_conditions")
@@ -108,6 +109,17 @@ def incidence(d):
            round(sum(s * c / at_risk) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS withdrawal, CAST(at_risk AS BIGINT) AS at_risk FROM kept"""
 
 
+CALIBRATED_SQL = statement("""
+    WITH r AS (SELECT doc_id, CAST(p AS DOUBLE) AS p, CAST(y AS DOUBLE) AS y FROM scored), cut AS (SELECT quantile_cont(doc_id, 0.75) AS c FROM r), fit AS (SELECT r.* FROM r, cut WHERE doc_id <= c),
+    v AS (SELECT p, sum(y) AS s, count(*) AS n, row_number() OVER (ORDER BY p) AS i FROM fit GROUP BY p),
+    u AS (SELECT i, p, sum(s) OVER (ORDER BY i) AS s, sum(n) OVER (ORDER BY i) AS n, s AS s0, n AS n0 FROM v),
+    m AS (SELECT a.i AS a, b.i AS b, (b.s - a.s + a.s0) / (b.n - a.n + a.n0) AS mean FROM u a JOIN u b ON b.i >= a.i),
+    low AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least_mean FROM m),
+    g AS (SELECT i, max(least_mean) AS y FROM low GROUP BY i), knot AS (SELECT u.p, g.y, lead(u.p) OVER (ORDER BY u.p) AS p2, lead(g.y) OVER (ORDER BY u.p) AS y2 FROM g JOIN u ON u.i = g.i),
+    rest AS (SELECT r.doc_id, r.p FROM r, cut WHERE r.doc_id > c)
+    SELECT t.doc_id, t.p, round(coalesce(CASE WHEN k.p2 IS NULL OR t.p = k.p THEN k.y ELSE k.y + (k.y2 - k.y) * (t.p - k.p) / (k.p2 - k.p) END, (SELECT min(y) FROM knot)), 6) AS calibrated, 'isotonic' AS method
+    FROM rest t ASOF LEFT JOIN knot k ON t.p >= k.p""", Oracle)
+
 DRAWS, WARMUP, CHAINS = 600, 600, 2
 
 
@@ -181,4 +193,4 @@ def hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("county_id", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / (CHAINS * DRAWS), 3).alias("probability"), F.round(at(0.1), 3).alias("p10"), F.round(at(0.9), 3).alias("p90"), F.round(F.sqrt(1 + F.col("between") / F.col("within")), 3).alias("r_hat"))
 
 
-QUERIES = {f"model_{f.__name__}": (f, None) for f in (calibrated, hazard, boosted, survival, hierarchical)} | {"model_incidence": query(incidence)}
+QUERIES = {f"model_{f.__name__}": (f, None) for f in (hazard, boosted, survival, hierarchical)} | {"model_incidence": query(incidence), "model_calibrated": (calibrated, CALIBRATED_SQL)}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from permrisk.plans import documents, evaluation, features, features_history, ledger, models, monitor, quality, registry_queries, score, serving, text
+from permrisk.plans import documents, evaluation, features, features_history, geometry, ledger, models, monitor, quality, registry_queries, score, serving, text, upkeep
 from permrisk.streaming import changes
 
 QUERIES: dict[str, tuple] = {}
-for _module in (features_history, features, evaluation, score, ledger, monitor, text, quality, registry_queries, models, serving, documents, changes):
+for _module in (features_history, features, evaluation, score, ledger, monitor, text, quality, registry_queries, models, serving, documents, upkeep, geometry, changes):
     QUERIES |= _module.QUERIES

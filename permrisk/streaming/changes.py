@@ -17,6 +17,8 @@ from permrisk.sources.scratch import fresh
 
 FILES_A_TRIGGER = 4
 CAPACITY, REFILL_A_HOUR = 5.0, 1.0
+#: a bucket is full again by then, so nothing is lost with its state
+IDLE_MS = 6 * 3_600_000
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +67,10 @@ CHANGE_SQL = "SELECT event_id, user_id % 25 AS county_id, event_type FROM events
 
 
 def _take(key, batches, state: GroupState):
-    """Requests of one key in order of time against a bucket that refills."""
+    """Requests of one key in order of time against a bucket that refills; a key that is idle for ``IDLE_MS`` is forgotten."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     tokens, last = state.get if state.exists else (CAPACITY, None)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
     allowed = denied = 0
@@ -78,13 +83,21 @@ def _take(key, batches, state: GroupState):
         else:
             denied += 1
     state.update((tokens, last))
+    state.setTimeoutTimestamp(int(last * 1000) + IDLE_MS)
     yield pd.DataFrame({"user_id": [key[0]], "allowed": [allowed], "denied": [denied]})
 
 
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests let through and turned away for each user, with the bucket kept as keyed state."""
-    stream = _events(spark, sf_dir).select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(_take, "user_id bigint, allowed bigint, denied bigint", "tokens double, last double", "update", GroupStateTimeout.NoTimeout)
+    stream = _events(spark, sf_dir).withWatermark("ts", _span(spark, sf_dir, 600)).select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(_take, "user_id bigint, allowed bigint, denied bigint", "tokens double, last double", "update", GroupStateTimeout.EventTimeTimeout)
     return drained(stream, "bucket", "update").groupBy("user_id").agg(F.sum("allowed").alias("allowed"), F.sum("denied").alias("denied"))
 
 
-QUERIES = {"stream_window_counts": (window_counts, WINDOW_SQL), "stream_changes": (change_stream, CHANGE_SQL), "stream_token_bucket": (token_bucket, None)}
+BUCKET_SQL = """
+    WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    walk AS (SELECT user_id, i, t, CAST(4.0 AS DOUBLE) AS tokens, true AS ok FROM e WHERE i = 1
+             UNION ALL SELECT e.user_id, e.i, e.t, least(5.0, w.tokens + (e.t - w.t) / 3600000000.0) - CASE WHEN least(5.0, w.tokens + (e.t - w.t) / 3600000000.0) >= 1 THEN 1 ELSE 0 END, least(5.0, w.tokens + (e.t - w.t) / 3600000000.0) >= 1
+             FROM walk w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+    SELECT user_id, count(*) FILTER (WHERE ok) AS allowed, count(*) FILTER (WHERE NOT ok) AS denied FROM walk GROUP BY user_id"""
+
+QUERIES = {"stream_window_counts": (window_counts, WINDOW_SQL), "stream_changes": (change_stream, CHANGE_SQL), "stream_token_bucket": (token_bucket, BUCKET_SQL)}

@@ -20,17 +20,27 @@ def plain(v):
     return v
 
 
-@pytest.fixture(scope="module")
-def oracle(sf):
+#: too few rows in the smallest tables for the branch that the oracle tells
+LARGER = {"model_calibrated": "/root/testdata/sf0.01"}
+
+
+def connected(sf):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
 
 
+@pytest.fixture(scope="module")
+def oracle(sf):
+    return connected(sf)
+
+
 @pytest.mark.parametrize("name", [n for n, (_, sql) in registry.QUERIES.items() if sql])
 def test_same_as_oracle(spark, sf, oracle, name):
     run, sql = registry.QUERIES[name]
+    if name in LARGER:
+        sf, oracle = LARGER[name], connected(LARGER[name])
     got = run(spark, sf)
     cursor = oracle.execute(sql)
     names = [c[0] for c in cursor.description]

@@ -49,3 +49,36 @@ def test_ndjson_and_objects(spark, tmp_path):
     (tmp_path / "g.txt").write_bytes(b"hello")
     kinds = {r.path.rsplit("/", 1)[1]: r.kind for r in civic.read_objects(spark, str(tmp_path / "*.*")).collect()}
     assert kinds == {"f.pdf": "pdf", "g.txt": "text"}
+
+
+REGISTRY = """
+jurisdictions:
+  - {slug: loudoun, name: Loudoun, fips: 51107, seats: 9, quorum: 5, threshold: majority_present, term_years: 4, stagger_years: 2, deciders: 1}
+  - {slug: "Bad One", name: Bad, fips: 5110, seats: 3, quorum: 5, threshold: loudest, term_years: 2, stagger_years: 4, deciders: 2}
+  - {slug: twin, name: Twin, fips: 51107, seats: 3}
+"""
+
+
+def test_registry_and_label_files(spark, tmp_path):
+    from permrisk.sources import registry
+
+    (tmp_path / "r.yaml").write_text(REGISTRY)
+    rows = registry.read_registry(spark, str(tmp_path / "r.yaml"))
+    assert rows.count() == 3
+    broken = sorted(tuple(r) for r in registry.registry_violations(rows).collect())
+    assert broken == sorted([("Bad One", r) for r in ("slug has other characters", "fips is not five digits", "quorum exceeds the seats", "unknown threshold", "stagger exceeds the term", "not one decider")] + [("loudoun", "fips is not unique")])
+    labels = [
+        {"label_id": "a", "outcome": "denied", "filed_on": "2021-01-01", "decided_on": "2021-03-01", "votes_for": 4, "votes_against": 1, "sources": [{"kind": "primary", "url": "https://x.gov/1"}]},
+        {"label_id": "a", "outcome": "approved", "filed_on": "2021-01-01", "votes_for": 4, "votes_against": 1, "sources": [{"kind": "press", "url": "https://x.gov/1"}, {"kind": "press", "url": "https://y.com/1"}]},
+        {"label_id": "b", "outcome": "lost", "filed_on": "2021-05-01", "decided_on": "2021-03-01", "sources": [{"kind": "press", "url": "https://x.gov/1"}]},
+        {"label_id": "c", "outcome": "pending", "filed_on": "2021-05-01", "sources": [{"kind": "primary", "url": "https://x.gov/1"}]},
+    ]
+    (tmp_path / "l.json").write_text(json.dumps({"decisions": labels}))
+    got = registry.read_labels(spark, str(tmp_path / "l.json"))
+    assert sorted(tuple(r) for r in registry.label_violations(got).collect()) == sorted(
+        [("a", "tally against the outcome"), ("a", "settled without a date"), ("a", "label_id is not unique"), ("b", "unknown outcome"), ("b", "decided before it was filed"), ("b", "no primary source and not two hosts")]
+    )
+    graph = spark.createDataFrame([("x", "hand_labelled"), ("y", "extracted")], "label_id string, label_source string")
+    assert sorted((r.label_id, r.label_source) for r in registry.reload_labels(graph, got.select("label_id").distinct()).collect()) == [("a", "hand_labelled"), ("b", "hand_labelled"), ("c", "hand_labelled"), ("y", "extracted")]
+    (tmp_path / "p.yaml").write_text("platforms:\n- {slug: a, platform: legistar, confidence: 0.9}\n- {slug: b, platform: unknown, confidence: 0}\n")
+    assert [r.slug for r in registry.read_platforms(spark, str(tmp_path / "p.yaml")).collect()] == ["a"]
