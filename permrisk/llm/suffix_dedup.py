@@ -12,11 +12,18 @@ an anchor is its last L bytes in front, the gram, and the first SPAN - L behind.
    are; the others, and one of each repeated surroundings, are compared.
 2. Compared anchors fetch their surroundings and meet, by gram, in a
    :class:`Family`: batches get suffix arrays, a batch is merge-scanned with
-   the level of its size, and the result goes up a level.
+   the level of its size, and the result goes up a level. Anchors of a gram with
+   over ``SPLIT_AT`` different surroundings are dealt twice instead, by what is
+   behind the gram and by what is in front of it, half a string's rest each: two
+   equal strings agree on one of the halves at least.
 3. The byte ranges found go back to the texts by content and are cut out.
 
-Texts are keyed by a 64-bit hash and their length, grams and surroundings by
-independent 64-bit hashes; what is compared is compared byte by byte. A null
+:class:`SuffixIndex` keeps such an index between batches of documents, its
+levels as tables.
+
+Texts are keyed by a 64-bit hash and their length, surroundings by the 64-bit
+hash of their bytes (XXH3) together with one of the gram; what is compared is
+compared byte by byte. A null
 text counts as empty; repeated rows are copies of each other; ids are only
 passed on. A text shorter than ``LENGTH`` bytes loses nothing.
 """
@@ -24,10 +31,12 @@ passed on. A text shorter than ``LENGTH`` bytes loses nothing.
 from __future__ import annotations
 
 import hashlib
-from functools import cache
+from dataclasses import dataclass
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +51,10 @@ BATCH_BYTES = 1 << 20
 FAMILY_BATCH = 4096
 FAMILY_ROWS = 1 << 15
 BASE = 0x9E3779B97F4A7C15
-BASE2 = 0xC2B2AE3D27D4EB4F
-WHOLE, COMPARE, WITNESS = 0, 1, 2
+HALF = SPAN // 2
+SPLIT_AT = 4096
+#: repeated as it is; to compare; stands for several that are repeated; and, added to these, in a split gram
+WHOLE, COMPARE, WITNESS, SPLIT = 0, 1, 2, 4
 
 
 @cache
@@ -104,7 +115,8 @@ def anchors(texts: list[bytes]):
     left = np.maximum(starts[who], place - SPAN)
     right = np.minimum(ends[who], place + GRAM + SPAN)
     front, behind = place - left, right - place - GRAM
-    around = Rolling(data, BASE2).of(left, right)
+    joined, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    around = np.fromiter((digest(joined[a:b]) for a, b in zip(left.tolist(), right.tolist(), strict=True)), np.uint64, len(left))
     around = mix(around ^ (front << 8 | behind).astype(np.uint64) * np.uint64(BASE))
     return who, place - starts[who], front, behind, gram[place], around
 
@@ -165,6 +177,7 @@ def _sort_out(batches):
         variants = np.bincount(group[new_run], minlength=group[-1] + 1)[group]
         sort = np.where(times > 1, np.where((variants > 1) & new_run, WITNESS, WHOLE), np.where(variants > 1, COMPARE, -1))
         keep = sort >= 0
+        sort += np.where((sort > WHOLE) & (variants > SPLIT_AT), SPLIT, 0)
         yield pa.RecordBatch.from_arrays(
             [pa.array(table[c].to_numpy()[keep], pa.int64()) for c in ("gram", "key", "size", "at")] + [pa.array(sort[keep], pa.int32())], names=["gram", "key", "size", "at", "sort"]
         )
@@ -178,7 +191,12 @@ def _surroundings(batches):
             data = text.encode("utf-8", "surrogatepass")
             for p in places:
                 at, front, behind = p["at"] >> 16, p["at"] >> 8 & 255, p["at"] & 255
-                rows.append((p["gram"], key, size, p["at"], p["sort"], data[at - front : at][::-1], data[at : at + GRAM + behind]))
+                ahead, rest = data[at - front : at][::-1], data[at : at + GRAM + behind]
+                if p["sort"] < SPLIT:
+                    rows.append((p["gram"], key, size, p["at"], p["sort"], ahead, rest))
+                    continue
+                halves = [b"b" + rest[: GRAM + HALF]] * (behind >= HALF) + [b"f" + ahead[:HALF] + rest[:GRAM]] * (front >= HALF)
+                rows += [(xxhash.xxh3_64_intdigest(h) - (1 << 63), key, size, p["at"], p["sort"] - SPLIT, ahead, rest) for h in halves]
             if len(rows) >= 8192:
                 yield _rows(rows)
                 rows = []
@@ -202,65 +220,47 @@ def _agree(block: np.ndarray) -> np.ndarray:
     return out
 
 
-class Family:
-    """Suffix arrays of anchors in levels; two of one level are merge-scanned and go up as one."""
+@dataclass
+class Level:
+    """A suffix array: anchors in order of their suffixes, and the widest repeated strings found to either side (-1: none)."""
 
-    def __init__(self):
-        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []  # (level, rows in suffix order, first row's batch)
-        self.suffix = np.empty((0, 8 + GRAM + SPAN), np.uint8)  # gram hash, gram, bytes behind
-        self.prefix = np.empty((0, 8 + SPAN), np.uint8)  # gram hash, bytes in front reversed
-        self.front, self.behind = np.empty(0, int), np.empty(0, int)
-        self.before, self.after = np.empty(0, int), np.empty(0, int)  # widest repeated string, either side
+    height: int
+    suffix: np.ndarray  # gram hash, gram, bytes behind
+    prefix: np.ndarray  # gram hash, bytes in front reversed
+    front: np.ndarray
+    behind: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    where: np.ndarray  # number of the anchor
 
-    def add(self, gram: np.ndarray, fronts: list[bytes], behinds: list[bytes]) -> None:
-        lead = gram.astype(">i8").view(np.uint8).reshape(-1, 8)
-        n, base = len(gram), len(self.suffix)
-        pad = lambda rows, width: np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(n, width)
-        self.suffix = np.concatenate([self.suffix, np.hstack([lead, pad(behinds, GRAM + SPAN)])])
-        self.prefix = np.concatenate([self.prefix, np.hstack([lead, pad(fronts, SPAN)])])
-        self.front = np.concatenate([self.front, [len(f) for f in fronts]]).astype(int)
-        self.behind = np.concatenate([self.behind, [len(b) - GRAM for b in behinds]]).astype(int)
-        self.before = np.concatenate([self.before, np.full(n, -1)])
-        self.after = np.concatenate([self.after, np.full(n, -1)])
-        rows = self._ordered(np.arange(base, base + n))
-        self._scan(rows, np.arange(n))
-        self.levels.append((0, rows))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            self._merge()
+    def take(self, rows: np.ndarray, height: int) -> Level:
+        return Level(height, *(x[rows] for x in self._arrays()))
 
-    def finish(self) -> None:
-        while len(self.levels) > 1:
-            self._merge()
+    def _arrays(self):
+        return self.suffix, self.prefix, self.front, self.behind, self.before, self.after, self.where
 
-    def _ordered(self, rows: np.ndarray) -> np.ndarray:
-        keys = np.ascontiguousarray(self.suffix[rows]).view(f"S{self.suffix.shape[1]}").ravel()
-        return rows[np.argsort(keys, kind="stable")]
+    def order(self) -> np.ndarray:
+        return np.argsort(np.ascontiguousarray(self.suffix).view(f"S{self.suffix.shape[1]}").ravel(), kind="stable")
 
-    def _merge(self) -> None:
-        (level, a), (_, b) = self.levels[-2], self.levels.pop()
-        both = np.concatenate([a, b])
-        side = np.zeros(len(self.suffix), dtype=np.int64)
-        side[b] = 1
-        rows = self._ordered(both)  # two sorted runs
-        self._scan(rows, side[rows])
-        self.levels[-1] = (level + 1, rows)
-
-    def _scan(self, rows: np.ndarray, part: np.ndarray) -> None:
-        """Note the repeated strings between rows of different parts; the rows are in suffix order."""
-        agree = _agree(self.suffix[rows])
+    @classmethod
+    def both(cls, a: Level, b: Level) -> Level:
+        return cls(a.height, *(np.concatenate(x) for x in zip(a._arrays(), b._arrays(), strict=True)))
+
+    def scan(self, part: np.ndarray) -> None:
+        """Note the repeated strings between anchors of different parts."""
+        agree = _agree(self.suffix)
         group = np.cumsum(agree < 8 + GRAM)
         mixed = np.zeros(group[-1] + 1, dtype=bool)
         mixed[group[1:][(group[1:] == group[:-1]) & (part[1:] != part[:-1])]] = True
-        pick = mixed[group]
-        rows, agree, group = rows[pick], agree[pick], group[pick]
-        if len(rows) < 2:
-            return
+        rows = np.flatnonzero(mixed[group])
         n = len(rows)
-        keys = np.ascontiguousarray(self.prefix[rows]).view(f"S{self.prefix.shape[1]}").ravel()
-        order = np.argsort(keys, kind="stable")
-        agree_front = _agree(self.prefix[rows][order])
-        same_group = np.concatenate([[False], group[1:] == group[:-1]])
-        agree = np.where(same_group, agree, -1)
+        if n < 2:
+            return
+        agree, group = agree[rows], group[rows]
+        prefix = self.prefix[rows]
+        order = np.argsort(np.ascontiguousarray(prefix).view(f"S{prefix.shape[1]}").ravel(), kind="stable")
+        agree_front = _agree(prefix[order])
+        agree = np.where(np.concatenate([[False], group[1:] == group[:-1]]), agree, -1)
         front, behind = self.front[rows], self.behind[rows]
         before, after = self.before[rows], self.after[rows]
         ahead = np.empty(n, dtype=np.int64)
@@ -278,6 +278,44 @@ class Family:
         self.before[rows], self.after[rows] = before, after
 
 
+class Family:
+    """Suffix arrays of anchors in levels; two of one height are merge-scanned and go up as one."""
+
+    def __init__(self):
+        self.levels: list[Level] = []
+        self.size = 0
+        self.before = self.after = np.empty(0, int)
+
+    def add(self, gram: np.ndarray, fronts: list[bytes], behinds: list[bytes]) -> None:
+        n = len(gram)
+        lead = gram.astype(">i8").view(np.uint8).reshape(-1, 8)
+        pad = lambda rows, width: np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(n, width)
+        lengths = np.array([len(f) for f in fronts]), np.array([len(b) - GRAM for b in behinds])
+        level = Level(0, np.hstack([lead, pad(behinds, GRAM + SPAN)]), np.hstack([lead, pad(fronts, SPAN)]), *lengths, np.full(n, -1), np.full(n, -1), np.arange(self.size, self.size + n))
+        self.size += n
+        level = level.take(level.order(), 0)
+        level.scan(np.arange(n))
+        self.levels.append(level)
+        while len(self.levels) > 1 and self.levels[-1].height == self.levels[-2].height:
+            self._merge()
+
+    def finish(self) -> None:
+        """Merge what is left, and note the results in the order of the anchors."""
+        while len(self.levels) > 1:
+            self._merge()
+        self.before, self.after = np.full(self.size, -1), np.full(self.size, -1)
+        for level in self.levels:
+            self.before[level.where], self.after[level.where] = level.before, level.after
+
+    def _merge(self) -> None:
+        b, a = self.levels.pop(), self.levels.pop()
+        both, side = Level.both(a, b), np.repeat([0, 1], [len(a.where), len(b.where)])
+        order = both.order()  # two sorted runs
+        level = both.take(order, a.height + 1)
+        level.scan(side[order])
+        self.levels.append(level)
+
+
 def _matched(batches):
     """Byte ranges of the compared anchors that are covered by repeated strings."""
     family, held = Family(), []
@@ -328,19 +366,69 @@ def _cut(batches):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, removed byte ranges) of every document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("bigint").alias("size"))
+    rows = keyed(docs, id_col, text_col)
     found = rows.where(F.col("size") >= LENGTH).select("key", "size", "text").mapInArrow(_anchored, "gram bigint, around bigint, key bigint, size bigint, at bigint, times bigint")
     sorted_out = found.repartition("gram").sortWithinPartitions("gram", "around").mapInArrow(_sort_out, "gram bigint, key bigint, size bigint, at bigint, sort int")
     marks = materialize(sorted_out, "anchors")
-    places = marks.where(F.col("sort") != WHOLE).groupBy("key", "size").agg(F.collect_list(F.struct("gram", "at", "sort")).alias("places"))
+    kind_of = F.col("sort").bitwiseAND(F.lit(SPLIT - 1))
+    places = marks.where(kind_of != WHOLE).groupBy("key", "size").agg(F.collect_list(F.struct("gram", "at", "sort")).alias("places"))
     one_each = rows.where(F.col("size") >= LENGTH).groupBy("key", "size").agg(F.first("text").alias("text"))
     around = one_each.join(places, ["key", "size"]).select("key", "size", "text", "places").mapInArrow(_surroundings, "gram bigint, key bigint, size bigint, at bigint, sort int, front binary, behind binary")
     matched = materialize(around.repartition("gram").sortWithinPartitions("gram").mapInArrow(_matched, "key bigint, size bigint, start bigint, stop bigint"), "matched")
     at, front, behind = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255)), F.col("at").bitwiseAND(F.lit(255))
-    whole = marks.where((F.col("sort") != COMPARE) & (front + behind >= SPAN)).select("key", "size", (at - front).alias("start"), (at + GRAM + behind).alias("stop"))
+    whole = marks.where((kind_of != COMPARE) & (front + behind >= SPAN)).select("key", "size", (at - front).alias("start"), (at + GRAM + behind).alias("stop"))
     ranges = whole.unionByName(matched).groupBy("key", "size").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     joined = rows.join(ranges, ["key", "size"], "left").select("id", "text", "ranges")
     kind = rows.schema["id"].dataType.simpleString()
     out = joined.mapInArrow(_cut, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start:bigint,stop:bigint>>")
     return out.withColumnRenamed("id", id_col)
+
+
+def _entries(batches):
+    """Every anchor of the texts with its surroundings."""
+    for batch in batches:
+        key, size = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+        for lo, hi in slices([len(t) for t in texts], BATCH_BYTES):
+            found = anchors(texts[lo:hi])
+            if found is None:
+                continue
+            rows = []
+            for w, at, front, behind, gram in zip(*(x.tolist() for x in (*found[:4], found[4].view(np.int64))), strict=True):
+                data = texts[lo + w]
+                rows.append((gram, key[lo + w], size[lo + w], at << 16 | front << 8 | behind, COMPARE, data[at - front : at][::-1], data[at : at + GRAM + behind]))
+            if rows:
+                yield _rows(rows)
+
+
+class SuffixIndex:
+    """An index of texts that grows by batches: a new batch is compared with itself and with the levels so far, and levels of one height merge.
+
+    Levels are tables in the shared scratch folder. :meth:`add` returns, for texts of this and of
+    earlier batches, the byte ranges that the new batch shows to be repeated (key, size, start, stop); the
+    union over all batches is what one batch of everything would give. Keys are those of
+    :func:`keyed`. A text that comes again in a later batch is a copy, and repeated as a whole.
+    """
+
+    def __init__(self):
+        self.levels: list[tuple[int, DataFrame]] = []
+
+    def add(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        rows = keyed(docs, None, text_col).where(F.col("size") >= LENGTH).select("key", "size", "text")
+        batch = materialize(rows.mapInArrow(_entries, "gram bigint, key bigint, size bigint, at bigint, sort int, front binary, behind binary"), "level")
+        grams = batch.select("gram").distinct()
+        met = [batch, *(level.join(grams, "gram", "left_semi") for _, level in self.levels)]
+        every = reduce(DataFrame.unionByName, met)
+        found = materialize(every.repartition("gram").sortWithinPartitions("gram").mapInArrow(_matched, "key bigint, size bigint, start bigint, stop bigint"), "matched")
+        self.levels.append((0, batch))
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (height, a), (_, b) = self.levels[-2:]
+            self.levels[-2:] = [(height + 1, materialize(a.unionByName(b), "level"))]
+        return found
+
+
+def keyed(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, key, size): texts by a hash and their length in bytes."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [] if id_col is None else [F.col(id_col).alias("id")]
+    return docs.select(*own, text.alias("text"), F.xxhash64(text).alias("key"), F.octet_length(text).cast("bigint").alias("size"))

@@ -426,6 +426,44 @@ def test_family_finds_matches_across_levels(monkeypatch):
         assert family.after[i] == (suffix_dedup.SPAN - min(wide) if wide else -1)
 
 
+def test_grams_with_many_surroundings_are_split_without_loss(spark, monkeypatch):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    hot = "the one gram that stands in very many different places of the texts"
+    tails, heads = [text(150) for _ in range(4)], [text(150) for _ in range(4)]
+    rows = [(i, text(90) + rng.choice(heads)[rng.randint(0, 60) :] + hot + rng.choice(tails)[: rng.randint(60, 150)] + text(90)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = collections.Counter(repeats(rows))
+    assert sum(r[2] for r in want) > 0
+    marked = suffix_dedup._sort_out
+    monkeypatch.setattr(suffix_dedup, "_sort_out", lambda b: split_at(b, marked))
+    assert collections.Counter(tuple(r)[:5] for r in suffix_dedup.remove_repeats(df).collect()) == want
+
+
+def split_at(batches, marked, least=5):
+    from permrisk.llm import suffix_dedup as module  # in the task
+
+    module.SPLIT_AT = least
+    yield from marked(batches)
+
+
+def test_an_index_of_batches_finds_what_one_of_everything_does(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcd efgh") for _ in range(n))
+    shared = [text(n) for n in (199, 200, 230, 420)]
+    rows = [(i, text(rng.randint(0, 200)) + rng.choice(shared) + text(rng.randint(0, 200)) + rng.choice(shared)) for i in range(50)] + [(60, None), (61, "x" * 300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    keys = {(r.key, r.size): r.id for r in suffix_dedup.keyed(df).collect()}
+    want = {i: n for i, _, n, _, _ in repeats(rows)}
+    for batches in (1, 5):
+        index, spans = suffix_dedup.SuffixIndex(), collections.defaultdict(set)
+        for k in range(batches):
+            for r in index.add(df.where(f"doc_id % {batches} = {k}")).collect():
+                spans[keys[r.key, r.size]] |= set(range(r.start, r.stop))
+        assert {i: len(spans[i]) for i in want} == want
+        assert [h for h, _ in index.levels] == ([0] if batches == 1 else [2, 0])
+
+
 # 6
 def test_folding():
     assert toxicity.folded("YOU 1D10T!! ѕtup!d  $tupid") == "you idiot stupid stupid".split()
