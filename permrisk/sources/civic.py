@@ -6,7 +6,7 @@ flattens them with built-in functions; fetching is not done here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from permrisk.functions import text as T
@@ -17,11 +17,12 @@ MEDIA = (r"(https?://[^\s\"'<>]+MediaPlayer\.php\?[^\s\"'<>]+)", r"(https?://[^\
 
 def api_meetings(rows: DataFrame, since: str, limit: int = 500, col: str = "json") -> DataFrame:
     """Meetings of an events API on or after ``since``, in order, at most ``limit`` for each response; unreadable dates are left out."""
-    events = rows.select(F.explode(F.from_json(col, f"array<{EVENT}>")).alias("e"))
+    events = rows.select(F.monotonically_increasing_id().alias("response"), F.from_json(col, f"array<{EVENT}>").alias("es")).select("response", F.explode("es").alias("e"))
     day = T.civic_date(F.col("e.EventDate"))
     status = F.lower(F.concat_ws(" ", "e.EventComment", "e.EventAgendaStatusName"))
-    out = events.select(F.col("e.EventId").alias("meeting_id"), F.col("e.EventBodyName").alias("body"), day.alias("held_on"), status.contains("cancel").alias("cancelled"), _media(F.col("e.EventVideoPath")).alias("media_url"))
-    return out.where(F.col("held_on") >= F.lit(since).cast("date")).orderBy("held_on", "meeting_id").limit(limit)
+    out = events.select("response", F.col("e.EventId").alias("meeting_id"), F.col("e.EventBodyName").alias("body"), day.alias("held_on"), status.contains("cancel").alias("cancelled"), _media(F.col("e.EventVideoPath")).alias("media_url"))
+    place = F.row_number().over(Window.partitionBy("response").orderBy("held_on", "meeting_id"))
+    return out.where(F.col("held_on") >= F.lit(since).cast("date")).withColumn("place", place).where(F.col("place") <= limit).drop("response", "place")
 
 
 def _media(raw):

@@ -11,7 +11,7 @@ def test_api_meetings_and_documents(spark):
         {"EventId": 4, "EventBodyName": "Board", "EventDate": "2024-05-01T00:00:00", "EventComment": "CANCELLED"},
     ]
     rows = spark.createDataFrame([(json.dumps(events),), (None,), ("not json",)], "json string")
-    got = civic.api_meetings(rows, "2024-01-01").collect()
+    got = sorted(civic.api_meetings(rows, "2024-01-01").collect())
     assert [(r.meeting_id, r.held_on, r.cancelled, r.media_url) for r in got] == [(1, dt.date(2024, 3, 4), False, "77"), (4, dt.date(2024, 5, 1), True, None)]
     assert sorted(tuple(r) for r in civic.api_documents(rows).collect()) == [(1, "agenda", "a.pdf"), (1, "staff_report", "r.pdf")]
 
