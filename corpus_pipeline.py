@@ -9,6 +9,12 @@ and returns the columns of its input; the last returns token ids. Stages:
 * benchmark_decontamination drops documents with a benchmark item within its error budget;
 * pii replaces personal data by its kind in brackets and counts the characters anew;
 * sentencepiece returns doc_id, ids, n_ids, decoded_sha256 and round_trip.
+
+A null or empty text has no letter, so language_id drops it; texts of any length
+are taken whole. Of equal texts the row of the smallest id stays, a row without
+an id only where no other of its group has one; rows that repeat id and text are
+one. Columns beside those of documents pass through all stages but the last,
+whatever their names. Empty tables give empty tables with the same columns.
 """
 
 from __future__ import annotations

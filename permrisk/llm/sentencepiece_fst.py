@@ -294,12 +294,12 @@ class Transducer:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-def load(model_file: str = MODEL_FILE) -> Transducer:
+def load(model: str | bytes = MODEL_FILE) -> Transducer:
+    """The machine of a model file, or of what such a file holds."""
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
-    with open(model_file, "rb") as f:
-        proto.ParseFromString(f.read())
+    proto.ParseFromString(model if isinstance(model, bytes) else _held(model))
     kinds = {p.type for p in proto.pieces}
     if proto.normalizer_spec.precompiled_charsmap or USER in kinds or BYTE not in kinds or proto.trainer_spec.model_type not in (UNIGRAM, BPE):
         raise ValueError("only unigram and BPE models with byte fallback, without character map and user-defined symbols")
@@ -309,15 +309,22 @@ def load(model_file: str = MODEL_FILE) -> Transducer:
     )
 
 
+def _held(model_file: str) -> bytes:
+    with open(model_file, "rb") as f:
+        return f.read()
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model_file: str = MODEL_FILE) -> DataFrame:
     """(id, ids, n_ids, decoded_sha256, round_trip): the ids of each whole text, and what decoding them gives back.
 
-    The model file is read where the tasks run; its path is the same on all machines.
+    The model file (a megabyte or so) is read on the driver and goes to the tasks by broadcast. A null
+    text is an empty one, a null id stays null, and a repeated row gives a repeated result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(_held(model_file))
 
     def run(batches):
-        machine = load(model_file)
+        machine = load(shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], BATCH_CHARS):
@@ -341,9 +348,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, m
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, model_file: str = MODEL_FILE) -> DataFrame:
     """(id, text) of encoded rows; a null list of ids decodes to the empty text."""
     kind = rows.schema[id_col].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(_held(model_file))
 
     def run(batches):
-        machine = load(model_file)
+        machine = load(shared.value)
         for batch in batches:
             texts = [machine.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
