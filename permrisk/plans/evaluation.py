@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from permrisk.operators.asof import look_up, moments, running
 from permrisk.operators.ranks import running_total
 from permrisk.plans.graph import frame, query
 
@@ -217,7 +218,84 @@ def competing_risks(d):
     FROM timed WHERE until >= filed_on GROUP BY 1"""
 
 
+def _base_rates(spark: SparkSession, sf_dir: str) -> tuple:
+    """Tables of the three levels before the cutoff, each shrunk to the one above: (whole, use, region and use, county and use)."""
+    rows = frame(spark, sf_dir, "application").where(f"{SETTLED} AND decided_on < {CUTOFF}").join(frame(spark, sf_dir, "county").select("county_id", "region_id"), "county_id")
+    ok = F.sum(F.when(F.col("outcome").isin("approved", "approved_with_conditions"), 1.0).otherwise(0.0))
+    cell = rows.groupBy("county_id", "region_id", "use_class").agg(F.count(F.lit(1)).alias("n"), ok.alias("s"))
+    whole = cell.agg((F.sum("s") / F.sum("n")).alias("mu"), F.count_if(F.col("n") >= 5).alias("cells"), F.var_samp(F.when(F.col("n") >= 5, F.col("s") / F.col("n"))).alias("v"), F.avg(F.when(F.col("n") >= 5, F.col("n"))).alias("mean_n"))
+    noise = F.col("mu") * (1 - F.col("mu"))
+    strength = F.when(F.col("cells") < 3, 4.0).when(F.coalesce("v", F.lit(0.0)) <= noise / F.col("mean_n"), 50.0).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(50.0), noise / F.col("v") - 1)))
+    whole = whole.select("mu", strength.alias("k"))
+    shrunk = lambda up: (F.col("s") + F.col(up) * F.col("k")) / (F.col("n") + F.col("k"))
+    use = cell.groupBy("use_class").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(F.broadcast(whole)).select("use_class", "k", shrunk("mu").alias("p1"))
+    region = cell.groupBy("region_id", "use_class").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).join(use, "use_class").select("region_id", "use_class", shrunk("p1").alias("p2"))
+    local = cell.join(use, "use_class").join(region, ["region_id", "use_class"]).select("county_id", "use_class", F.col("n").alias("n_local"), shrunk("p2").alias("p3"), (F.col("k") / (F.col("k") + F.col("n"))).alias("pooling"))
+    return whole, use, region, local
+
+
+def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three levels, each shrunk to the one above; a missing cell falls back to the next level."""
+    whole, use, region, local = _base_rates(spark, sf_dir)
+    rows = frame(spark, sf_dir, "application").where(f"filed_on >= {CUTOFF}").join(frame(spark, sf_dir, "county").select("county_id", "region_id"), "county_id")
+    told = rows.join(F.broadcast(whole.select("mu"))).join(use.drop("k"), "use_class", "left").join(region, ["region_id", "use_class"], "left").join(local, ["county_id", "use_class"], "left")
+    p, n = F.coalesce("p3", "p2", "p1", "mu"), F.coalesce("n_local", F.lit(0))
+    half = 1 / F.sqrt(n + 2)
+    return told.select(
+        "application_id", F.round(p, 6).alias("probability"), F.round(F.coalesce("pooling", F.lit(1.0)), 6).alias("pooling_weight"), n.cast("bigint").alias("n_local"),
+        F.round(F.greatest(F.lit(0.0), p - half), 6).alias("low"), F.round(F.least(F.lit(1.0), p + half), 6).alias("high"),
+    )
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each county and month at risk of its first restriction; what is known at its start comes from running totals."""
+    county, laws = frame(spark, sf_dir, "county"), frame(spark, sf_dir, "instrument")
+    first = laws.where("kind = 'moratorium' AND adopted_on >= DATE '1996-06-01'").groupBy(F.col("county_id").cast("bigint").alias("county_id")).agg(F.min("adopted_on").alias("on_day"))
+    months = F.explode(F.expr("sequence(DATE '1995-06-01', DATE '2001-06-01', interval 1 month)"))
+    spine = county.select("county_id", months.alias("month")).join(first, "county_id", "left").where("on_day IS NULL OR month <= trunc(on_day, 'MM')")
+    back = F.add_months("month", -24)
+    key = ["county_id"]
+    asked = moments(spine, key, F.col("month"), back)
+    # facts count by the month they fall in
+    voiced = running(frame(spark, sf_dir, "objection").withColumn("m", F.trunc("observed_on", "MM")), key, "m", {"objections": F.lit(1)}, {}, asked)
+    filed = running(frame(spark, sf_dir, "application").withColumn("m", F.trunc("filed_on", "MM")), key, "m", {"filings": F.lit(1)}, {}, asked)
+    around = frame(spark, sf_dir, "adjacency").join(first.withColumnRenamed("county_id", "neighbour_id"), "neighbour_id").select("county_id", "on_day")
+    near = running(around, key, "on_day", {"near": F.lit(1)}, {}, asked)
+    now = spine
+    for prefix, at in (("", F.col("month")), ("old_", back)):
+        now = look_up(now, voiced, key, at, "m", prefix, ["objections"])
+        now = look_up(now, filed, key, at, "m", prefix, ["filings"])
+    now = look_up(now, near.withColumnRenamed("on_day", "d"), key, F.col("month"), "d", "", ["near"])
+    held = frame(spark, sf_dir, "election").groupBy("county_id").agg(F.array_sort(F.collect_set("held_on")).alias("days"))
+    ahead = F.get(F.filter("days", lambda x: x >= F.col("month")), F.lit(0))
+    diff = lambda c: F.coalesce(c, F.lit(0)) - F.coalesce("old_" + c, F.lit(0))
+    return now.join(held, "county_id", "left").select(
+        "county_id", "month", F.coalesce(F.trunc("on_day", "MM") == F.col("month"), F.lit(False)).alias("event"), F.coalesce("near", F.lit(0)).cast("bigint").alias("neighbours_restricted"),
+        diff("objections").cast("bigint").alias("objections_24m"), diff("filings").cast("bigint").alias("filings_24m"), F.round(F.try_divide(diff("objections"), F.nullif(diff("filings"), F.lit(0))), 6).alias("objection_pressure"),
+        F.coalesce(F.datediff(ahead, "month") / F.lit(30.44) <= 12, F.lit(False)).alias("election_within_12m"),
+    )
+
+
+def curve(rows: DataFrame) -> DataFrame:
+    """(bin, n, predicted, observed) of the ten equal bins that hold rows, the last one closed."""
+    return rows.groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("p").cast("double")).alias("predicted"), F.avg(F.col("y").cast("double")).alias("observed"))
+
+
+def reliable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spine = spark.range(10).select(F.col("id").cast("int").alias("bin"))
+    told = spine.join(curve(frame(spark, sf_dir, "scored")), "bin", "left")
+    return told.select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("predicted", (F.col("bin") + 0.5) / 10), 6).alias("predicted"), F.round(F.coalesce("observed", F.lit(0.0)), 6).alias("observed"))
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = F.abs(F.col("predicted") - F.col("observed"))
+    return curve(frame(spark, sf_dir, "scored")).agg(F.round(F.sum(F.col("n") * gap) / F.sum("n"), 6).alias("ece"), F.round(F.max(gap), 6).alias("mce"), F.bool_and((F.col("n") < 5) | (gap <= 0.10)).alias("worst_bin_within"))
+
+
 QUERIES = {
     f.__name__: query(f)
-    for f in (base_rate_levels, base_rate_predict, hazard_panel, reliability, calibration_error, wilson, abstention_precision, residual_notes, sufficiency, temporal_split, coverage_gate, column_summary, competing_risks)
-} | {"metrics": (metrics, query(_metrics)[1]), "binned_coverage": (binned_coverage, query(_binned_coverage)[1])}
+    for f in (base_rate_levels, wilson, abstention_precision, residual_notes, sufficiency, temporal_split, coverage_gate, column_summary, competing_risks)
+} | {
+    "metrics": (metrics, query(_metrics)[1]), "binned_coverage": (binned_coverage, query(_binned_coverage)[1]), "base_rate_predict": (predicted, query(base_rate_predict)[1]), "hazard_panel": (panel, query(hazard_panel)[1]),
+    "reliability": (reliable, query(reliability)[1]), "calibration_error": (calibration, query(calibration_error)[1]),
+}

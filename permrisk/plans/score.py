@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
 from permrisk.plans.evaluation import CUTOFF, OK, SETTLED, _shrunk
-from permrisk.plans.graph import query
+from permrisk.plans.graph import frame, query
 
 
 def _scored(d):
@@ -61,6 +64,27 @@ def precedents(d):
     SELECT application_id, precedent_id, outcome, round(similarity, 6) AS similarity, CAST(place AS INT) AS place FROM ranked WHERE place <= 6"""
 
 
+def alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the 40 latest verified decisions of the county, the six most alike: use, relief, scale and recency."""
+    a = frame(spark, sf_dir, "application")
+    relief = frame(spark, sf_dir, "relief")
+    told = a.join(relief, "application_id", "left").withColumn("relief", F.coalesce("relief", F.array(F.lit("N"))))
+    latest = Window.partitionBy("county_id").orderBy(F.desc("decided_on"), F.desc("application_id"))
+    pool = told.where(f"{SETTLED} AND decided_on IS NOT NULL").join(frame(spark, sf_dir, "verified"), "application_id", "left_semi").withColumn("latest", F.row_number().over(latest)).where("latest <= 40")
+    pool = pool.groupBy("county_id").agg(F.collect_list(F.struct(F.col("application_id").alias("id"), "outcome", "use_class", "capacity_mw", "relief", "decided_on")).alias("pool"))
+    p = lambda c: F.col("x." + c)
+    ratio = F.try_divide(F.least("capacity_mw", p("capacity_mw")), F.greatest("capacity_mw", p("capacity_mw")))
+    ratio = F.when(F.col("capacity_mw").isNotNull() & p("capacity_mw").isNotNull(), ratio)
+    age = F.datediff(F.lit("2001-08-01").cast("date"), p("decided_on")) / 365.25
+    score = (
+        F.when(F.col("use_class") == p("use_class"), 0.40).otherwise(0.0) + F.size(F.array_intersect("relief", p("relief"))) / F.greatest(F.lit(1), F.size(F.array_union("relief", p("relief")))) * 0.25
+        + F.coalesce(ratio, F.lit(0.5)) * 0.15 + F.pow(F.lit(0.5), age / 3) * 0.20
+    )
+    met = told.where("outcome = 'pending'").join(pool, "county_id").withColumn("x", F.explode("pool")).where("x.id <> application_id").select("application_id", p("id").alias("precedent_id"), p("outcome").alias("outcome"), score.alias("similarity"))
+    place = F.row_number().over(Window.partitionBy("application_id").orderBy(F.desc(F.round("similarity", 9)), F.desc("precedent_id")))
+    return met.withColumn("place", place.cast("int")).where("place <= 6").withColumn("similarity", F.round("similarity", 6))
+
+
 def drivers(d):
     """The largest contributions first, as shares of their total; zeros are no drivers."""
     parts = " UNION ALL ".join(f"SELECT application_id, '{n}' AS feature, {e} AS effect FROM application WHERE outcome = 'pending'" for n, e in (
@@ -147,5 +171,5 @@ def stale_counties(d):
 
 QUERIES = {
     f.__name__: query(f)
-    for f in (abstention, portfolio, precedents, drivers, alternatives, mitigations, attached_evidence, county_profile, county_derived, label_stats, instrument_stats, freshness, stale_counties)
-}
+    for f in (abstention, portfolio, drivers, alternatives, mitigations, attached_evidence, county_profile, county_derived, label_stats, instrument_stats, freshness, stale_counties)
+} | {"precedents": (alike, query(precedents)[1])}

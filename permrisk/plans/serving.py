@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permrisk.plans.dialect import Oracle
-from permrisk.plans.evaluation import CUTOFF, OK, SETTLED, _shrunk, area_under_curve, base_rate_predict, coverage_bins, hazard_panel
+from permrisk.plans.evaluation import CUTOFF, OK, SETTLED, _base_rates, _shrunk, area_under_curve, coverage_bins, hazard_panel, panel, predicted
 from permrisk.plans.graph import frame, query, statement
+from permrisk.sources.scratch import fresh
 
 APPROVALS = ("approved", "approved_with_conditions")
 # fixed values: the gates and floors a verdict needs
@@ -39,7 +40,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = fit.groupBy("staff", "use_class").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n")).join(staff, "staff")
     both = both.select("staff", "use_class", ((F.col("s") + PRIOR * F.col("p_staff")) / (F.col("n") + PRIOR)).alias("p_both"), F.col("n").alias("n_both"))
     local = fit.groupBy("county_id", "use_class").agg(F.count(F.lit(1)).alias("n_local"))
-    reference = query(base_rate_predict)[0](spark, sf_dir).select("application_id", F.col("probability").alias("reference"))
+    reference = predicted(spark, sf_dir).select("application_id", F.col("probability").alias("reference"))
     # a decision held out may have been filed before the cutoff, where the base rate has the same value
     told = held.join(staff, "staff", "left").join(both, ["staff", "use_class"], "left").join(local, ["county_id", "use_class"], "left").join(whole)
     told = told.join(_reference(spark, sf_dir), ["county_id", "use_class"], "left").join(reference, "application_id", "left")
@@ -54,7 +55,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query(lambda d: f"WITH {_shrunk(d).strip()} SELECT county_id, use_class, p AS p_cell FROM p3")[0](spark, sf_dir)
+    return _base_rates(spark, sf_dir)[3].select("county_id", "use_class", F.col("p3").alias("p_cell"))
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -78,7 +79,9 @@ def kill_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     The primary model is the best by skill, chosen before any gate is looked at. Too small a
     corpus gives INSUFFICIENT DATA whatever the gates say, and no figures.
     """
-    rows = candidates(spark, sf_dir)
+    path = fresh(spark, "candidates")
+    candidates(spark, sf_dir).write.parquet(path)
+    rows = spark.read.parquet(path)
     names = ("staff", "staff and use")
     judged = None
     for name in names:
@@ -199,7 +202,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = frame_abstention(spark, sf_dir)
     a = frame(spark, sf_dir, "application").where("outcome = 'pending'")
     months = frame(spark, sf_dir, "application").where("decided_on IS NOT NULL").groupBy("use_class").agg(F.percentile(F.datediff("decided_on", "filed_on") / F.lit(30.44), F.lit(0.5)).alias("median"))
-    hazard = query(hazard_panel)[0](spark, sf_dir).agg(F.try_divide(F.count_if("event"), F.count(F.lit(1))).alias("h"))
+    hazard = panel(spark, sf_dir).agg(F.try_divide(F.count_if("event"), F.count(F.lit(1))).alias("h"))
     rows = a.join(found, "application_id").join(months, "use_class", "left").join(F.broadcast(hazard))
     rows = rows.withColumn("p10", _per_mille(F.col("median") * 0.42)).withColumn("p50", _per_mille(F.col("median"))).withColumn("p90", _per_mille(F.col("median") * 2.35))
     rows = rows.withColumn("change", _per_mille(1 - F.pow(1 - F.col("h"), F.col("p50") / 1000)))

@@ -178,12 +178,10 @@ def content_store(d):
 
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of part names with trigram similarity of at least 0.62, found by shared trigrams, not by all pairs."""
-    named = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct().select("p_name", T.trigrams(F.col("p_name")).alias("g"))
-    one = named.select(F.col("p_name").alias("a"), F.size("g").alias("na"), F.explode("g").alias("gram"))
-    two = named.select(F.col("p_name").alias("b"), F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    both = one.join(two, "gram").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
-    s = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return both.where(s >= 0.62).select("a", "b", F.round(s, 6).alias("similarity"), F.when(s >= 0.92, "merge").otherwise("adjudicate").alias("decision"))
+    from permrisk.plans.documents import similar
+
+    pairs = similar(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name"), 0.62, "p_name")
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"), F.when(F.col("similarity") >= 0.92, "merge").otherwise("adjudicate").alias("decision"))
 
 
 _GRAMS = "list_distinct(flatten(list_transform(string_split(lower(p_name), ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
