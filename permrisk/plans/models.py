@@ -168,29 +168,32 @@ def _chain(n: np.ndarray, s: np.ndarray, cluster: np.ndarray, seed: int) -> np.n
 
 
 def hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partially pooled approval rates: county within structural cluster, posterior mean, 80 % interval and R-hat.
+    """Partially pooled approval rates: county within structural cluster, posterior mean, 80 % interval, share borrowed, R-hat and whether the chains agree.
 
-    Decisions are reduced to one row for each county (a sufficient statistic); chains run in parallel tasks.
+    A county without a settled decision has what its cluster tells, with the spread of counties around
+    it. Decisions are reduced to one row for each county (a sufficient statistic); chains run in parallel tasks.
     """
     county = frame(spark, sf_dir, "county").select("county_id", F.coalesce("framework", F.lit("unknown")).alias("framework"))
     cells = frame(spark, sf_dir, "application").where(~F.col("outcome").isin("pending", "withdrawn")).groupBy("county_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome").isin(*APPROVALS)).alias("s"))
-    rows = county.join(cells, "county_id").crossJoin(F.broadcast(spark.range(CHAINS).withColumnRenamed("id", "chain")))
+    rows = county.join(cells, "county_id", "left").fillna(0, ["n", "s"]).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(CHAINS - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("county_id")
         cluster = pd.factorize(pdf.framework, sort=True)[0]
-        draws = _chain(pdf.n.to_numpy(float), pdf.s.to_numpy(float), cluster, int(pdf.chain.iloc[0]) + 11)[:, 3:]
+        every = _chain(pdf.n.to_numpy(float), pdf.s.to_numpy(float), cluster, int(pdf.chain.iloc[0]) + 11)
+        draws, sigma = every[:, 3:], float(every[:, 2].mean())
         half = np.split(draws, 2)
-        return pd.DataFrame({"county_id": np.repeat(pdf.county_id.to_numpy(), 2), "part": np.tile([0, 1], len(pdf)), "chain": pdf.chain.iloc[0], "draws": [h[:, j].tolist() for j in range(draws.shape[1]) for h in half]})
+        return pd.DataFrame({"county_id": np.repeat(pdf.county_id.to_numpy(), 2), "part": np.tile([0, 1], len(pdf)), "chain": pdf.chain.iloc[0], "n": np.repeat(pdf.n.to_numpy(), 2), "sigma": sigma, "draws": [h[:, j].tolist() for j in range(draws.shape[1]) for h in half]})
 
-    drawn = rows.groupBy("chain").applyInPandas(run, "county_id bigint, part int, chain bigint, draws array<double>")
+    drawn = rows.groupBy("chain").applyInPandas(run, "county_id bigint, part int, chain bigint, n bigint, sigma double, draws array<double>")
     m = DRAWS // 2
     stats = drawn.withColumn("mean", F.aggregate("draws", F.lit(0.0), lambda a, x: a + x) / m)
     stats = stats.withColumn("var", F.aggregate("draws", F.lit(0.0), lambda a, x: a + x * x) / m - F.col("mean") * F.col("mean"))
     p = F.transform(F.flatten(F.collect_list("draws")), lambda x: 1 / (1 + F.exp(-x)))
-    got = stats.groupBy("county_id").agg(F.array_sort(p).alias("p"), F.avg("var").alias("within"), F.var_pop("mean").alias("between"))
+    got = stats.groupBy("county_id").agg(F.array_sort(p).alias("p"), F.avg("var").alias("within"), F.var_pop("mean").alias("between"), (1 / (0.25 * F.pow(F.avg("sigma"), 2))).alias("k"), F.max("n").alias("n"))
     at = lambda q: F.col("p")[int(q * CHAINS * DRAWS)]
-    return got.select("county_id", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / (CHAINS * DRAWS), 3).alias("probability"), F.round(at(0.1), 3).alias("p10"), F.round(at(0.9), 3).alias("p90"), F.round(F.sqrt(1 + F.col("between") / F.col("within")), 3).alias("r_hat"))
+    r_hat = F.round(F.sqrt(1 + F.col("between") / F.col("within")), 3)
+    return got.select("county_id", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / (CHAINS * DRAWS), 3).alias("probability"), F.round(at(0.1), 3).alias("p10"), F.round(at(0.9), 3).alias("p90"), F.round(F.col("k") / (F.col("k") + F.col("n")), 3).alias("pooling_weight"), r_hat.alias("r_hat"), (r_hat <= 1.01).alias("converged"))
 
 
 QUERIES = {f"model_{f.__name__}": (f, None) for f in (hazard, boosted, survival, hierarchical)} | {"model_incidence": query(incidence), "model_calibrated": (calibrated, CALIBRATED_SQL)}
