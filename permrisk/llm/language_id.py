@@ -3,9 +3,9 @@
 Training counts n-grams of the lower-cased text, padded by a blank on both
 sides, into a fixed number of buckets. Tasks add up dense count matrices, the
 sums are grouped by (language, bucket), and the smoothed log-probability matrix
-is broadcast: its size is languages x buckets and never depends on the number
-of documents. Should many languages make it larger than ``max_model_bytes``,
-the number of buckets is halved until it fits.
+is broadcast: its size is languages x buckets, a quarter of a megabyte a
+language, and never depends on the number of documents. More than ``max_langs``
+labels are refused.
 
 Results for odd input: a null or letterless text gets ``und`` and score 0; a
 null id is never trained on and not held out; without any training row every
@@ -101,12 +101,12 @@ class LanguageModel:
 
 def train(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
-    buckets: int = BUCKETS, alpha: float = 0.5, max_langs: int = 4096, max_model_bytes: int = 64 << 20,
+    buckets: int = BUCKETS, alpha: float = 0.5, max_langs: int = 512,
 ) -> LanguageModel:
     """Fit on every row with a text and a language.
 
-    ``max_langs`` bounds what reaches the driver; more distinct labels than
-    that are not languages, and the fit refuses them.
+    ``max_langs`` bounds what reaches the driver and the tasks; more distinct labels
+    than that are no languages, and the fit refuses them.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     cells = (
@@ -120,8 +120,6 @@ def train(
         return LanguageModel((), np.zeros((buckets + 1, 0)))
     counts = np.stack([got[x] for x in langs], axis=1)
     grams, docs = counts[:-1].astype(np.float64), counts[-1].astype(np.float64)
-    while grams.nbytes > max_model_bytes and len(grams) > 1024:
-        grams = grams[: len(grams) // 2] + grams[len(grams) // 2 :]
     logp = np.log(grams + alpha) - np.log(grams.sum(axis=0) + alpha * len(grams))
     return LanguageModel(langs, np.vstack([logp, np.log(docs / docs.sum())]))
 

@@ -10,8 +10,8 @@ them. From a bounded sample of labelled rows (about ``MAX_ROWS``, picked by a
 hash of the id) the beginnings frequent in toxic documents are counted in both
 classes, and a greedy cover keeps the few that explain the toxic documents and
 are precise; a document has a beginning if it is as frequent in it as once in
-``DENSE`` words, so chance hits in long texts do not count. An entry weighs its log odds. Phrases of an entry and the word
-beside it that are seen in clean documents only are exceptions and count
+``DENSE`` words, so chance hits in long texts do not count. An entry weighs its
+log odds. Phrases of an entry and the word beside it that are seen in clean documents only are exceptions and count
 nothing. The sum of weights is divided by the number of stretches of
 ``STRETCH`` words begun and turned into a probability by a logistic fit.
 
@@ -114,7 +114,8 @@ class Lexicon:
         for at, entry in best.items():
             stop = line.index(" ", at + 1)
             word = line[at + 1 : stop]
-            before, behind = line[max(0, at - 80) : at].rsplit(" ", 1)[-1], line[stop + 1 : stop + 80].split(" ", 1)[0]
+            after = line.find(" ", stop + 1)
+            before, behind = line[line.rfind(" ", 0, at) + 1 : at], line[stop + 1 : after] if after > 0 else ""
             found.append((entry, f"{before} {word}", f"{word} {behind}"))
         return found
 
