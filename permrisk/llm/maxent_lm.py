@@ -34,7 +34,7 @@ import heapq
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -209,7 +209,8 @@ class Model:
                 order = np.argsort(r, kind="stable")
                 inside = r.take(order)
                 start = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
-                step = np.add.reduceat(g.take(order, axis=0), start, axis=0)
+                # as complex numbers, two columns are added at once
+                step = np.add.reduceat(g.take(order, axis=0).view(np.complex64), start, axis=0).view(np.float32)
                 at = inside.take(start)
                 so_far = total.take(at) + np.einsum("ij,ij->i", step, step)
                 total[at] = so_far
@@ -297,10 +298,9 @@ def _scored(batches, vocabulary: Vocabulary, tree: Tree, tables: list[np.ndarray
             p += np.where(hot, 0.0, -log_rest)
             start = np.cumsum(sizes) - sizes
             rare: list[list[dict]] = []
-            flags = hot.tolist()
+            beyond = (~hot).tolist()
             for ws, s in zip(words, start.tolist(), strict=True):
-                found = Counter(w for w, known in zip(ws, flags[s : s + len(ws)], strict=True) if not known)
-                rare.append([{"w": w, "n": n} for w, n in found.items()])
+                rare.append([{"w": w, "n": n} for w, n in Counter(compress(ws, beyond[s : s + len(ws)])).items()])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(hot.astype(np.int64), start), pa.int64()),
