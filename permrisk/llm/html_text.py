@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 COPY = 0.8
 TABLE_CELLS = 1 << 22
-BLOCKS_A_TASK = 8
+#: blocks are dealt to tasks by hash, so a task should have several; the ends of all of them are known to the driver
+BLOCKS_A_TASK, MOST_BLOCKS = 16, 1 << 16
 RAW = {"script", "style", "template", "noscript", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
 SKIPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "fieldset"}
 MAIN = {"article", "main"}
@@ -318,23 +319,24 @@ def _context(blocks: list[tuple]) -> dict[tuple, list[int]]:
     """Which pages each block needs besides its own: the nearest before and behind it."""
     needed: dict[tuple, list[int]] = {}
 
-    def look(i, end, step, near, far):
-        own = blocks[i][end]
-        j = i + step
-        while 0 <= j < len(blocks):
-            for r in (blocks[j][near], blocks[j][far]):
-                if r is None:
-                    continue
-                if r[0] != own[0]:
-                    return
-                if r[3] != own[3]:
-                    needed.setdefault(_order(*r), []).append(i)
-                    return
-            j += step
-
-    for i in range(len(blocks)):
-        look(i, 0, -1, 3, 2)
-        look(i, 3, 1, 0, 1)
+    def look(order, end: int, near: int, far: int):
+        """From each block to the one next to it: its near end, the page with another html beyond that, or what that block itself looked up."""
+        found = past = None
+        for i in order:
+            own = blocks[i][end]
+            if past is not None:
+                if past[near][0] != own[0]:
+                    found = None
+                elif past[near][3] != own[3]:
+                    found = past[near]
+                elif past[far] is not None:
+                    found = past[far] if past[far][0] == own[0] else None
+            if found is not None:
+                needed.setdefault(_order(*found), []).append(i)
+            past = blocks[i]
+
+    look(range(len(blocks)), 0, 3, 2)
+    look(range(len(blocks) - 1, -1, -1), 3, 0, 1)
     return needed
 
 
@@ -397,8 +399,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     keys = [part("HOST").alias("host"), part("PATH").alias("path"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(html_col), F.lit(""))).alias("mark")]
     rows = pages.select(*keys, F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     order = ["host", "path", "id", "mark"]
-    # as many blocks as some multiple of the tasks: their ends are what the driver sees
-    size = max(1, -(-pages.count() // (BLOCKS_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    blocks = min(MOST_BLOCKS, BLOCKS_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = max(1, -(-pages.count() // blocks))
     ends = rows.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
     schema = ", ".join(f"e{4 * k} string, e{4 * k + 1} string, e{4 * k + 2} {kind}, e{4 * k + 3} bigint" for k in range(4))
     found = ends.mapInArrow(lambda b: _ends(b, size), schema).collect()
