@@ -56,7 +56,7 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
 
 
 def _once(rows: DataFrame, key: str, column: str) -> DataFrame:
-    again = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias(key)).where("n > 1")
+    again = rows.groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias(key)).where("n > 1")
     return again.select(key, F.lit(f"{column} is not unique").alias("rule"))
 
 

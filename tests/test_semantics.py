@@ -169,3 +169,49 @@ def test_incidence_is_monotone_and_bounded(spark, sf):
     for name in ("approval", "denial", "withdrawal"):
         assert all(a[name] <= b[name] + 1e-9 for a, b in zip(rows, rows[1:]))
     assert all(r.approval + r.denial + r.withdrawal <= 1 + 1e-6 for r in rows)
+
+
+def test_in_force_meets_every_day_between_start_and_end(spark):
+    from permrisk.operators.intervals import in_force
+
+    day = lambda m, d: dt.date(2021, m, d)
+    facts = spark.createDataFrame([("a", day(1, 5), day(3, 2), 1), ("a", day(2, 1), None, 7), ("a", day(2, 1), day(2, 1), 99), ("a", None, day(9, 9), 50), ("b", day(1, 1), day(1, 2), 3)], "k string, f date, t date, x int")
+    asked = [("a", day(1, 4)), ("a", day(1, 5)), ("a", day(1, 31)), ("a", day(2, 1)), ("a", day(3, 1)), ("a", day(3, 2)), ("b", day(1, 2)), ("c", day(1, 2))]
+    got = {(r.k, r.day): (r.hi, r.lo) for r in in_force(spark.createDataFrame(asked, "k string, day date"), facts, ["k"], "f", "t", most={"hi": F.col("x")}, least={"lo": F.col("x")}).collect()}
+    assert got == {("a", day(1, 4)): (None, None), ("a", day(1, 5)): (1, 1), ("a", day(1, 31)): (1, 1), ("a", day(2, 1)): (7, 1), ("a", day(3, 1)): (7, 1), ("a", day(3, 2)): (7, 7), ("b", day(1, 2)): (None, None), ("c", day(1, 2)): (None, None)}
+
+
+def test_running_total_in_two_levels(spark):
+    from permrisk.operators.ranks import running_total
+
+    rows = [(i, (i * 7919 % 1000) / 1000.0, i % 5) for i in range(500)] + [(900, 0.0, 3), (901, 1.0, 4)]
+    got = {r.id: r.t for r in running_total(spark.createDataFrame(rows, "id int, p double, n int"), F.col("p"), [F.col("id")], F.col("n"), "t").collect()}
+    total = 0
+    for i, _, n in sorted(rows, key=lambda r: (r[1], r[0])):
+        assert got[i] == total
+        total += n
+
+
+def test_chunks_keep_headings_and_merge_what_is_short():
+    from permrisk.plans.documents import cut_chunks
+
+    body = "words of the record\n" * 20
+    text = f"SECTION 1. Purpose\n{body}ITEM 2\n\nSECTION 3. Scope\n{body}"
+    got = cut_chunks(text)
+    assert [text[a:b].split("\n")[0] for a, b, _ in got] == ["SECTION 1. Purpose", "ITEM 2"] and got[-1][1] == len(text)
+    assert got[1][2] == "ITEM 2"
+    long = "SECTION 1. Purpose\n" + (("x" * 90 + "\n") * 30 + "\n") * 8
+    pieces = cut_chunks(long)
+    assert len(pieces) > 2 and all(h == "SECTION 1. Purpose" for _, _, h in pieces) and [a for a, _, _ in pieces[1:]] == [b for _, b, _ in pieces[:-1]]
+    assert cut_chunks("") == [] and cut_chunks("\n \n") == []
+
+
+def test_abstention_rules_in_order_and_strict(spark):
+    from permrisk.plans.score import REASON
+
+    rows = [
+        (1, False, 1, 400, 0, 1.0, 1.0, "unresolved_jurisdiction_chain"), (2, True, 1, 400, 0, 1.0, 1.0, "degenerate_training_corpus"), (3, True, 2, 91, 9, 0.0, 0.0, "stale_jurisdiction_data"), (4, True, 2, 90, 2, 0.81, 0.36, "thin_local_record"),
+        (5, True, 2, 90, 2, 0.8, 0.36, None), (6, True, 2, None, 2, 0.81, 0.35, None), (7, True, 2, 14, 3, 0.9, 0.9, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, resolved boolean, classes int, stale_days int, n int, pooling double, width double, want string")
+    assert all(r.got == r.want for r in df.selectExpr("want", f"{REASON} AS got").collect())
