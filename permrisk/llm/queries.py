@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permrisk.llm import decontaminate, html_text, language_id, lattice, maxent_lm, pii, sentencepiece_fst, simhash, suffix_dedup, toxicity
+from permrisk.llm import byte_bpe, decontaminate, html_text, language_id, lattice, maxent_lm, pii, sentencepiece_fst, simhash, suffix_dedup, toxicity
 from permrisk.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_benchmark_leaks": op2_benchmark_leaks,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_lattice_near_dedup": op9_lattice_near_dedup,
     "op10_html_text": op10_html_text,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 #: None of these can be said in SQL as a whole; their tests compare with brute force.
