@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from permrisk.sources.scratch import fresh
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a scratch table in the shared folder and read it back."""
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a scratch table in the shared folder, in folders by column ``by`` if one is given, and read it back."""
     spark = df.sparkSession
     path = fresh(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*[by] if by else []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
