@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from permrisk.llm import byte_bpe, decontaminate, html_text, language_id, lattice, maxent_lm, pii, sentencepiece_fst, simhash, suffix_dedup, toxicity, vector_codes
+from permrisk.llm import byte_bpe, decontaminate, html_text, language_id, lattice, maxent_lm, pii, sentencepiece_fst, simhash, spelling, suffix_dedup, toxicity, vector_codes
 from permrisk.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_lattice_near_dedup": op9_lattice_near_dedup,
     "op10_html_text": op10_html_text,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_vector_codes": op12_vector_codes,
     "op13_byte_bpe": op13_byte_bpe,
 }
