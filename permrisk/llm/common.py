@@ -2,7 +2,7 @@
 
 Every text operator works on whole rows. A null text counts as an empty one,
 a null id stays null in the result, repeated rows give repeated result rows,
-and columns other than the ones an operator names are not looked at.
+and columns other than the ones an operator names are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,14 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def unused(name: str, columns) -> str:
+    """``name``, or with underscores behind it, so that no column of ``columns`` has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permrisk.llm.common import materialize
+from permrisk.llm.common import materialize, unused
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT = 3
@@ -341,19 +341,20 @@ def _text(spans: list) -> str:
 
 
 def _searched(docs: DataFrame, text_col: str, options: dict):
-    """The documents and the last block of patterns; what the blocks before it add is in a column, if there are any."""
+    """The documents and the last block of patterns; if there were others before it, what they add is noted in a last column."""
     blocks = patterns(docs, text_col, **options)
-    found = next(blocks)
+    found, noted = next(blocks), False
     for block in blocks:
-        docs = docs if ADDED in docs.columns else docs.withColumn(ADDED, F.lit(""))
+        docs = docs if noted else docs.withColumn(unused(ADDED, docs.columns), F.lit(""))
+        noted = True
         docs = materialize(_noted(docs, text_col, found), "added")
         found = block
-    return docs, docs.sparkSession.sparkContext.broadcast(found)
+    return docs, noted, docs.sparkSession.sparkContext.broadcast(found)
 
 
 def _noted(docs: DataFrame, text_col: str, found: dict[str, tuple[str, ...]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(found)
-    at, to = docs.columns.index(text_col), docs.columns.index(ADDED)
+    at, to = docs.columns.index(text_col), len(docs.columns) - 1
 
     def run(batches):
         for batch in batches:
@@ -366,19 +367,19 @@ def _noted(docs: DataFrame, text_col: str, found: dict[str, tuple[str, ...]]) ->
     return docs.mapInArrow(run, docs.schema)
 
 
-def _before(batch) -> list[str]:
-    return batch.column(ADDED).to_pylist() if ADDED in batch.schema.names else [""] * batch.num_rows
+def _before(batch, noted: bool) -> list[str]:
+    return batch.columns[-1].to_pylist() if noted else [""] * batch.num_rows
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row a document: counts and digest of the base spans, all spans, and how many the patterns added."""
-    docs, shared = _searched(docs.select(id_col, text_col), text_col, options)
+    docs, noted, shared = _searched(docs.select(id_col, text_col), text_col, options)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             counts, sha, spans, added = [[] for _ in KINDS], [], [], []
-            for text, more in zip(batch.column(1).to_pylist(), _before(batch), strict=True):
+            for text, more in zip(batch.column(1).to_pylist(), _before(batch, noted), strict=True):
                 base, every = all_spans(text or "", shared.value, more)
                 per = Counter(k for k, _, _ in base)
                 for column, name in zip(counts, KINDS, strict=True):
@@ -396,14 +397,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; all other columns as they were."""
     schema = docs.schema
-    docs, shared = _searched(docs, text_col, options)
+    docs, noted, shared = _searched(docs, text_col, options)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts = [None if t is None else masked(t, all_spans(t, shared.value, more)[1]) for t, more in zip(batch.column(at).to_pylist(), _before(batch), strict=True)]
-            kept = [(name, pa.array(texts, pa.string()) if i == at else c) for i, (name, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if name != ADDED]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept], names=[name for name, _ in kept])
+            texts = [None if t is None else masked(t, all_spans(t, shared.value, more)[1]) for t, more in zip(batch.column(at).to_pylist(), _before(batch, noted), strict=True)]
+            kept = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(schema)])]
+            yield pa.RecordBatch.from_arrays(kept, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permrisk.llm.common import materialize
+from permrisk.llm.common import materialize, unused
 from permrisk.llm.components import components, forest
 
 THRESHOLD = 2
@@ -222,7 +222,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = marked.join(kept, F.col("id") == F.col("best"), "left_semi").groupBy("id").count().where("count > 1")
     names = docs.columns
     own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
-    out = docs.join(kept.withColumnRenamed("best", "__best"), own.eqNullSafe(F.col("__best")), "left_semi").select(*names)
+    best = unused("__best", names)
+    out = docs.join(kept.withColumnRenamed("best", best), own.eqNullSafe(F.col(best)), "left_semi").select(*names)
     if again.isEmpty():
         return out
     # repeated rows of one id and text: only now is their text worth a shuffle

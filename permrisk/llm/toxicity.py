@@ -127,13 +127,13 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * density + self.offset))))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, modulus: int, held: int, max_rows: int) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, modulus: int, held: int, max_rows: int) -> DataFrame:
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col, modulus) != held)).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__toxic"))
     total = rows.count()
     if total > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * max_rows / total))
     # at most about max_rows rows of two numbers
-    return docs.join(F.broadcast(rows), F.col(id_col) == F.col("__id"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), F.col("id") == F.col("__id")).select("text", F.col("__toxic").alias("toxic"))
 
 
 def _counted(rows: DataFrame, of, keys: str) -> DataFrame:
@@ -152,7 +152,7 @@ def _counted(rows: DataFrame, of, keys: str) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, modulus: int = 3, held: int = 1, max_rows: int = MAX_ROWS) -> Lexicon:
     spark = docs.sparkSession
-    sample = _sample(docs, labels, id_col, label_col, modulus, held, max_rows).select(F.col(text_col).alias("text"), F.col("__toxic").alias("toxic"))
+    sample = _sample(docs, labels, id_col, text_col, label_col, modulus, held, max_rows)
     n = {r.toxic: r["count"] for r in sample.groupBy((F.col("toxic") == 1).cast("int").alias("toxic")).count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     blank = Lexicon({}, frozenset(), 0.0, math.log((bad + 1) / (good + 1)))

@@ -693,3 +693,26 @@ def test_pages_give_their_articles(spark, sf):
         body = "".join(re.findall(r"<article>(.*?)</article>", p.html, re.S))
         blocks = [" ".join(h.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|div)>", body)]
         assert rows[p.page_id].text == "\n".join(b for b in blocks if b)
+
+
+# columns named like those that operators use within
+INNER = ("__added", "__id", "__toxic", "__best", "__text", "id", "text_", "fp", "best", "toxic", "n", "word", "run", "mask", "kind", "v", "codes", "part", "u", "root", "cell", "rid", "lang_pred", "held_out", "score")
+
+
+def test_inner_names_as_extra_columns(spark, docs, monkeypatch):
+    few = docs.orderBy("doc_id").limit(60).cache()
+    named = few.select("*", *[F.lit("x").alias(c) for c in INNER])
+    labels = spark.createDataFrame([(r.doc_id, k % 3 == 0) for k, r in enumerate(few.collect())], "doc_id bigint, toxic boolean").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    ran = lambda f: (sorted(map(repr, f(few).collect())), sorted(map(repr, f(named).collect())))
+    own = lambda df: df.select(*few.columns)
+    for f in (
+        pii.find, lambda d: own(pii.redact(d)), lambda d: own(simhash.deduplicate(d)), simhash.near_duplicates, lambda d: toxicity.classify(d, labels), lambda d: toxicity.classify(d, labels.select("*", *[F.lit(1).alias(c) for c in INNER if c != "toxic"])),
+        language_id.identify, suffix_dedup.remove_repeats, sentencepiece_fst.encode, maxent_lm.score,
+    ):
+        a, b = ran(f)
+        assert a == b
+    assert pii.redact(named).columns == named.columns == simhash.deduplicate(named).columns
+    monkeypatch.setattr(pii, "BLOCK", 1)
+    rows = spark.createDataFrame([(i, f"filler text {i} hotline +1 555 010 {1000 + i} or mobile +1 555 010 {2000 + i} thanks", "kept") for i in range(12)] + [(99, "please use hotline 555-0199-88 today", "kept")], "doc_id bigint, text string, __added string")
+    out = {r.doc_id: r for r in pii.redact(rows).collect()}
+    assert out[99].text == "please use hotline [PHONE] today" and out[99]["__added"] == "kept"
