@@ -1,4 +1,4 @@
-"""Estimators: calibrators, rule-change hazard, boosted trees, survival, and the hierarchical classifier.
+"""Estimators on few columns: calibrators, rule-change hazard, incidence, and county rates pooled without covariates.
 
 What is fitted is small: aggregates, or one row for each cell. Each query
 returns rows the tests check against closed forms or known truth.
@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import AFTSurvivalRegression, IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,39 +63,6 @@ def hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.transform(v).select("county_id", "month", F.round(h, 6).alias("hazard"), F.round(1 - F.pow(1 - h, 12), 6).alias("within_a_year"))
 
 
-def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = frame(spark, sf_dir, "application").where(~F.col("outcome").isin("pending", "withdrawn"))
-    return a.select(
-        "application_id", "county_id", "decided_on", F.col("outcome").isin(*APPROVALS).cast("double").alias("label"), "capacity_mw", "acres", F.col("acres").isNull().cast("double").alias("acres_missing"),
-        F.coalesce(F.col("by_right").cast("double"), F.lit(0.5)).alias("by_right"), F.when(F.col("staff") == "deny", -1.0).when(F.col("staff").isNotNull(), 1.0).otherwise(0.0).alias("staff_support"),
-    )
-
-
-FEATURES = ["capacity_mw", "acres", "acres_missing", "by_right", "staff_support"]
-
-
-def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees on the older decisions, the newer ones scored; missing values are flagged and imputed by medians."""
-    rows = _matrix(spark, sf_dir)
-    fit = rows.where("decided_on < DATE '1999-01-01'")
-    filled = Imputer(inputCols=["acres"], outputCols=["acres"], strategy="median").fit(fit)
-    assemble = VectorAssembler(inputCols=FEATURES, outputCol="v")
-    model = GBTClassifier(featuresCol="v", maxDepth=2, maxIter=20, stepSize=0.1, subsamplingRate=0.8, seed=7).fit(assemble.transform(filled.transform(fit)))
-    return model.transform(assemble.transform(filled.transform(rows.where("decided_on >= DATE '1999-01-01'")))).select("application_id", F.round(vector_to_array("probability")[1], 6).alias("probability"))
-
-
-def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months to a decision: Weibull accelerated failure time with pending applications censored at the end."""
-    a = frame(spark, sf_dir, "application")
-    until = F.coalesce("decided_on", F.lit("2001-08-01").cast("date"))
-    rows = a.select("application_id", (F.datediff(until, "filed_on") / 30.44).alias("label"), F.col("decided_on").isNotNull().cast("double").alias("censor"), "capacity_mw", F.coalesce(F.col("by_right").cast("double"), F.lit(0.5)).alias("by_right")).where("label > 0.03")
-    v = VectorAssembler(inputCols=["capacity_mw", "by_right"], outputCol="features").transform(rows)
-    model = AFTSurvivalRegression(quantileProbabilities=[0.1, 0.5, 0.9], quantilesCol="q").fit(v)
-    q = vector_to_array("q")
-    clip = lambda x: F.round(F.greatest(F.lit(0.1), F.least(F.lit(240.0), x)), 6)
-    return model.transform(v).select("application_id", clip(q[0]).alias("p10"), clip(q[1]).alias("p50"), clip(q[2]).alias("p90"))
-
-
 def incidence(d):
     """Cumulative incidence of the competing outcomes on a grid of months (Aalen-Johansen), monotone and summing to at most one."""
     months = f"CAST(floor({d.days('coalesce(decided_on, DATE ' + chr(39) + '2001-08-01' + chr(39) + ')', 'filed_on')} / 30.44) AS INT)"
@@ -196,4 +163,4 @@ def hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("county_id", F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / (CHAINS * DRAWS), 3).alias("probability"), F.round(at(0.1), 3).alias("p10"), F.round(at(0.9), 3).alias("p90"), F.round(F.col("k") / (F.col("k") + F.col("n")), 3).alias("pooling_weight"), r_hat.alias("r_hat"), (r_hat <= 1.01).alias("converged"))
 
 
-QUERIES = {f"model_{f.__name__}": (f, None) for f in (hazard, boosted, survival, hierarchical)} | {"model_incidence": query(incidence), "model_calibrated": (calibrated, CALIBRATED_SQL)}
+QUERIES = {f"model_{f.__name__}": (f, None) for f in (hazard, hierarchical)} | {"model_incidence": query(incidence), "model_calibrated": (calibrated, CALIBRATED_SQL)}

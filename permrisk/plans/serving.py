@@ -58,7 +58,7 @@ def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _base_rates(spark, sf_dir)[3].select("county_id", "use_class", F.col("p3").alias("p_cell"))
 
 
-def _judged(rows: DataFrame) -> DataFrame:
+def judged(rows: DataFrame) -> DataFrame:
     """One row with the five figures of one model's held-out rows."""
     p, y = F.col("p"), F.col("y")
     square = (p - y) * (p - y)
@@ -74,20 +74,23 @@ def _judged(rows: DataFrame) -> DataFrame:
 
 
 def kill_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict, primary model, and the five gates.
+    """Verdict, primary model, and the five gates, with rates by staff advice as candidates."""
+    path = fresh(spark, "candidates")
+    candidates(spark, sf_dir).write.parquet(path)
+    return verdict(spark, sf_dir, spark.read.parquet(path), ["staff", "staff and use"])
+
+
+def verdict(spark: SparkSession, sf_dir: str, rows: DataFrame, names: list[str]) -> DataFrame:
+    """The kill test over candidates, as :func:`candidates` has them.
 
     The primary model is the best by skill, chosen before any gate is looked at. Too small a
     corpus gives INSUFFICIENT DATA whatever the gates say, and no figures.
     """
-    path = fresh(spark, "candidates")
-    candidates(spark, sf_dir).write.parquet(path)
-    rows = spark.read.parquet(path)
-    names = ("staff", "staff and use")
-    judged = None
+    every = None
     for name in names:
-        one = _judged(rows.where(F.col("model") == name)).withColumn("model", F.lit(name))
-        judged = one if judged is None else judged.unionByName(one)
-    best = judged.orderBy(F.desc_nulls_last(F.when(F.isnan("skill"), None).otherwise(F.col("skill"))), "model").limit(1)
+        one = judged(rows.where(F.col("model") == name)).withColumn("model", F.lit(name))
+        every = one if every is None else every.unionByName(one)
+    best = every.orderBy(F.desc_nulls_last(F.when(F.isnan("skill"), None).otherwise(F.col("skill"))), "model").limit(1)
     settled = _settled(spark, sf_dir)
     depth = settled.groupBy("county_id").count().agg(F.count_if(F.col("count") >= DEEP).alias("deep"))
     held = F.col("decided_on") >= F.expr(CUTOFF)
@@ -99,8 +102,8 @@ def kill_test(spark: SparkSession, sf_dir: str) -> DataFrame:
         gate("area", F.col("auc"), F.col("auc") > LEAST_AUC), gate("abstention", F.col("improvement"), (F.col("n_abstained") == 0) | (F.col("improvement") >= LEAST_IMPROVEMENT)),
     )
     told = best.join(counts).withColumn("gates", gates)
-    verdict = F.when(~enough, "INSUFFICIENT DATA").when(F.forall("gates", lambda g: g.passed), "PASS").otherwise("FAIL")
-    return told.select(verdict.alias("verdict"), F.when(enough, F.col("model")).alias("primary_model"), F.explode("gates").alias("g"), enough.alias("enough")).select(
+    outcome = F.when(~enough, "INSUFFICIENT DATA").when(F.forall("gates", lambda g: g.passed), "PASS").otherwise("FAIL")
+    return told.select(outcome.alias("verdict"), F.when(enough, F.col("model")).alias("primary_model"), F.explode("gates").alias("g"), enough.alias("enough")).select(
         "verdict", "primary_model", "g.gate", F.when(F.col("enough"), F.round("g.observed", 5)).alias("observed"), F.when(F.col("enough"), F.col("g.passed")).alias("passed")
     )
 
