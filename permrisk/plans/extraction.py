@@ -1,4 +1,4 @@
-"""Extracted decisions, from answers to applications: what each answer comes to, and the table after two batches that overlap.
+"""What is written in batches that may be repeated: extracted decisions, from answers to applications, and published predictions.
 
 Answers are written from the graph: the item of an application quotes its
 document once for each piece of evidence, word for word where that is verified,
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from permrisk.plans.dialect import Oracle
 from permrisk.plans.features import USES
-from permrisk.plans.graph import frame, statement
-from permrisk.sources import landing
+from permrisk.plans.graph import frame, query, statement
+from permrisk.plans.ledger import GENESIS, _payloads
+from permrisk.sources import landing, published
 from permrisk.sources.scratch import fresh
 
 SCHEMA = landing.decision_schema(["decision"], [], USES, ["A", "N", "R", "other"], ["approved", "approved_with_conditions", "denied", "withdrawn"], [])
@@ -73,4 +74,22 @@ LANDED_SQL = statement(f"""
     SELECT a.county_id, 'C-' || CAST(a.applicant_id AS VARCHAR) AS external_id, a.document_id, a.use_class, array_to_string(a.relief, ',') AS relief, a.capacity_mw, a.acres, a.filed_on, b.decided_on, b.outcome, b.f AS vote_for, b.g AS vote_against, a.staff AS staff_recommendation
     FROM placed a JOIN placed b ON b.county_id = a.county_id AND b.applicant_id = a.applicant_id AND b.j = 1 WHERE a.i = 1""", Oracle)
 
-QUERIES = {"extraction_judged": (judged, JUDGED_SQL), "extraction_landed": (landed, LANDED_SQL)}
+def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after three batches, each of them with all that came before: known predictions are refused and the chain goes on."""
+    store = fresh(spark, "published")
+    issued = query(_payloads)[0](spark, sf_dir).select(F.col("seq").alias("subject"), "payload", "published_on")
+    for epoch, until in enumerate(EPOCHS):
+        published.publish(issued.where(F.col("published_on") < F.to_date(F.lit(until))), store, epoch)
+    return published.entries(spark, store).select("epoch", "seq", "subject", "payload_hash", "prev_hash", "entry_hash")
+
+
+EPOCHS = ("1996-01-01", "1999-01-01", "9999-12-31")
+_EPOCH = " ".join(f"WHEN published_on < DATE '{day}' THEN {k}" for k, day in enumerate(EPOCHS))
+EXTENDED_SQL = statement(f"""
+    WITH every AS ({_payloads(Oracle).strip()}), dealt AS (SELECT seq AS subject, payload, CASE {_EPOCH} END AS epoch FROM every),
+    entry AS (SELECT CAST(epoch AS BIGINT) AS epoch, subject, sha256(payload) AS payload_hash, row_number() OVER (ORDER BY epoch, subject) AS rn FROM dealt WHERE epoch IS NOT NULL),
+    chained AS (SELECT rn, epoch, subject, payload_hash, '{GENESIS}' AS prev_hash, sha256('{GENESIS}' || payload_hash) AS entry_hash FROM entry WHERE rn = 1
+                UNION ALL SELECT e.rn, e.epoch, e.subject, e.payload_hash, c.entry_hash, sha256(c.entry_hash || e.payload_hash) FROM chained c JOIN entry e ON e.rn = c.rn + 1)
+    SELECT epoch, rn - 1 AS seq, subject, payload_hash, prev_hash, entry_hash FROM chained""", Oracle).replace("WITH ", "WITH RECURSIVE ", 1)
+
+QUERIES = {"ledger_extended": (extended, EXTENDED_SQL), "extraction_judged": (judged, JUDGED_SQL), "extraction_landed": (landed, LANDED_SQL)}
