@@ -140,18 +140,21 @@ RESCORED_SQL = statement("""
 def daily_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What one run of the monitor did on each day: changes seen, watches looked at, alerts made and kept back."""
     watches = frame(spark, sf_dir, "watch")
-    sites = watches.groupBy("county_id", "subscriber_id").agg(F.count(F.lit(1)).alias("sites"))
+    # what a change is worth depends on all sites of a subscriber, as it does for the alerts
+    sites = watches.groupBy("subscriber_id").agg(F.count(F.lit(1)).alias("sites"))
+    held = watches.groupBy("county_id", "subscriber_id").agg(F.count(F.lit(1)).alias("held")).join(sites, "subscriber_id")
     base = F.create_map(*[F.lit(x) for kv in BASES.items() for x in kv])
     changes = frame(spark, sf_dir, "change").where("trigger_kind IS NOT NULL").select("event_id", "county_id", F.to_date("known_from").alias("day"), base[F.col("trigger_kind")].alias("base"))
-    worth = F.least(F.lit(1.0), F.col("base") - 0.3 + F.when(F.col("sites") > 1, F.least(F.col("sites") / 20, F.lit(0.10))).otherwise(0.0))
-    met = changes.join(sites, "county_id", "left").groupBy("day", "event_id").agg(F.coalesce(F.sum("sites"), F.lit(0)).alias("watches"), F.coalesce(F.sum(F.when(worth >= 0.35, F.col("sites"))), F.lit(0)).alias("made"))
+    none = F.lit(None).cast("double")
+    worth = materiality(F.col("base"), none, none, F.col("sites"))
+    met = changes.join(held, "county_id", "left").groupBy("day", "event_id").agg(F.coalesce(F.sum("held"), F.lit(0)).alias("watches"), F.coalesce(F.sum(F.when(worth >= 0.35, F.col("held"))), F.lit(0)).alias("made"))
     return met.groupBy("day").agg(F.count(F.lit(1)).alias("changes"), F.sum("watches").alias("watches_checked"), F.sum("made").alias("alerts"), F.sum(F.col("watches") - F.col("made")).alias("kept_back"))
 
 
 DAILY_SQL = statement("""
-    WITH w AS (SELECT *, count(*) OVER (PARTITION BY county_id, subscriber_id) AS sites FROM watch),
+    WITH w AS (SELECT *, count(*) OVER (PARTITION BY subscriber_id) AS sites FROM watch),
     c AS (SELECT event_id, county_id, CAST(known_from AS DATE) AS day, CASE trigger_kind WHEN 'rule_changed' THEN 0.85 WHEN 'moratorium_on_agenda' THEN 0.90 WHEN 'moratorium_enacted' THEN 0.95 WHEN 'litigation_filed' THEN 0.50 END AS base FROM change WHERE trigger_kind IS NOT NULL),
-    j AS (SELECT c.day, c.event_id, w.watch_id, least(1.0, c.base - 0.3 + CASE WHEN w.sites > 1 THEN least(w.sites / 20.0, 0.10) ELSE 0.0 END) >= 0.35 AS made FROM c LEFT JOIN w ON w.county_id = c.county_id)
+    j AS (SELECT c.day, c.event_id, w.watch_id, least(1.0, c.base + CASE WHEN w.sites > 1 THEN least(w.sites / 20.0, 0.10) ELSE 0.0 END) >= 0.35 AS made FROM c LEFT JOIN w ON w.county_id = c.county_id)
     SELECT day, count(DISTINCT event_id) AS changes, count(watch_id) AS watches_checked, count(*) FILTER (WHERE watch_id IS NOT NULL AND made) AS alerts, count(*) FILTER (WHERE watch_id IS NOT NULL AND NOT made) AS kept_back FROM j GROUP BY day""", Oracle)
 
 
