@@ -8,13 +8,19 @@ Plans are made from these lists alone. Use::
 
     spark.dataSource.register(CivicAnswers)
     answers.write.format("civic_answers").option("path", p).option("batch", 7).mode("append").save()
-    spark.read.format("civic_answers").option("path", p).load().where("last_day >= '2024-01-01'")
+    stored(spark, p, since="2024-01-01", platform=["legistar"])
     spark.readStream.format("civic_answers").option("path", p).load()
 
-Filters on ``platform``, ``source`` and the days are the reader's when
-``spark.sql.python.filterPushdown.enabled`` is set: they choose files, and rows
-before these go to Spark. Landing a batch that is there changes nothing. Answers
-may be null, empty or of any length; a null meets no filter.
+The options ``platform``, ``source`` (values parted by commas), ``since`` (least last
+day) and ``until`` (greatest first day) choose files by the lists, and rows before
+these go to Spark; ``stored`` sets them. With the option ``pushdown`` and
+``spark.sql.python.filterPushdown.enabled`` Spark's own filters do so as well. That
+is off by default: Spark 4.1.2 keeps one plan of the reader for all uses of a loaded
+table, so a table with pushed filters may be filtered once only; load again for
+another filter, or rows are missing.
+
+Landing a batch that is there changes nothing. Answers may be null, empty or of any
+length; a null meets no condition.
 """
 
 from __future__ import annotations
@@ -23,11 +29,11 @@ import datetime as dt
 import io
 import json
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyarrow import fs as filesystems
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 SCHEMA = "platform string, source string, fetched_on date, first_day date, last_day date, answer string"
@@ -92,6 +98,13 @@ class Condition:
         return low is not None and not ((self.kind in ("=", ">", ">=") and high < self.value) or (self.kind in ("=", "<", "<=") and low > self.value))
 
 
+def chosen(options: Mapping[str, str]) -> list[Condition]:
+    """The conditions that options state."""
+    found = [Condition(c, "in", frozenset(options[c].split(","))) for c in ("platform", "source") if options.get(c)]
+    found += [Condition(c, kind, dt.date.fromisoformat(options[o]).isoformat()) for o, c, kind in (("since", "last_day", ">="), ("until", "first_day", "<=")) if options.get(o)]
+    return found
+
+
 def _batches(path: str) -> list[int]:
     where, root = _store(path)
     found = where.get_file_info(filesystems.FileSelector(f"{root}/batches", allow_not_found=True))
@@ -127,8 +140,19 @@ def _rows(path: str, files: Files, conditions: Sequence[Condition] = ()) -> Iter
 
 
 class AnswerReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.conditions = path, []
+    def __init__(self, path: str, conditions: Sequence[Condition] = ()):
+        self.path, self.conditions = path, list(conditions)
+
+    def partitions(self) -> list[Files]:
+        # a plan without any task is one that reads nothing
+        return _packed(self.path, _batches(self.path), self.conditions) or [Files(())]
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        return _rows(self.path, partition, self.conditions)
+
+
+class PushedReader(AnswerReader):
+    """One that takes over what filters it can; Spark keeps the others."""
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
@@ -138,13 +162,6 @@ class AnswerReader(DataSourceReader):
             else:
                 self.conditions.append(condition)
 
-    def partitions(self) -> list[Files]:
-        # a plan without any task is one that reads nothing
-        return _packed(self.path, _batches(self.path), self.conditions) or [Files(())]
-
-    def read(self, partition: Files) -> Iterator[tuple]:
-        return _rows(self.path, partition, self.conditions)
-
 
 class AnswerStream(DataSourceStreamReader):
     """An offset is the last batch that counts; a trigger reads the batches between two of them.
@@ -245,7 +262,8 @@ class CivicAnswers(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> AnswerReader:
-        return AnswerReader(self.options["path"])
+        reader = PushedReader if self.options.get("pushdown", "false").lower() == "true" else AnswerReader
+        return reader(self.options["path"], chosen(self.options))
 
     def streamReader(self, schema) -> AnswerStream:
         return AnswerStream(self.options["path"])
@@ -255,6 +273,11 @@ class CivicAnswers(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, with its filters pushed."""
+    """Make the format known to a session."""
     spark.dataSource.register(CivicAnswers)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+
+
+def stored(spark: SparkSession, path: str, platform: Sequence[str] = (), source: Sequence[str] = (), since: str = "", until: str = "") -> DataFrame:
+    """The answers of a store that meet all that is given."""
+    given = {"platform": ",".join(platform), "source": ",".join(source), "since": since, "until": until}
+    return spark.read.format("civic_answers").options(path=path, **{k: v for k, v in given.items() if v}).load()
