@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from permrisk.operators.nearest import k_nearest
 from permrisk.plans.dialect import Oracle
 from permrisk.plans.graph import frame, statement
 
@@ -39,6 +40,18 @@ def edges(ring: Column) -> Column:
     return F.transform(F.slice(ring, F.lit(1), F.size(ring) - 1), lambda p, i: F.struct(p.x.alias("x1"), p.y.alias("y1"), F.get(ring, i + 1).x.alias("x2"), F.get(ring, i + 1).y.alias("y2")))
 
 
+def read_shapes(rows: DataFrame, col: str = "geojson") -> DataFrame:
+    """``rows`` with ``edges``: those of all rings of a polygon or of several, holes among them; open rings are closed, rings of less than three corners left out, and null is what has none."""
+    point = "array<array<array<double>>>"
+    kind = F.from_json(col, "struct<type:string>")["type"]
+    one, many = F.from_json(col, f"struct<coordinates:{point}>")["coordinates"], F.from_json(col, f"struct<coordinates:array<{point}>>")["coordinates"]
+    rings = F.filter(F.when(kind == "Polygon", one).when(kind == "MultiPolygon", F.flatten(many)), lambda r: F.size(F.array_distinct(r)) >= 3)
+    step = lambda r, i: F.get(r, i % F.size(r))
+    around = lambda r: F.transform(r, lambda p, i: F.struct(p[0].alias("x1"), p[1].alias("y1"), step(r, i + 1)[0].alias("x2"), step(r, i + 1)[1].alias("y2")))
+    every = F.filter(F.flatten(F.transform(rings, around)), lambda e: (e.x1 != e.x2) | (e.y1 != e.y2))
+    return rows.withColumn("edges", F.when(F.size(every) > 0, every))
+
+
 def area(ring: Column) -> Column:
     return F.abs(F.aggregate(edges(ring), F.lit(0.0), lambda s, e: s + (e.x1 * e.y2 - e.x2 * e.y1))) / 2
 
@@ -107,12 +120,34 @@ def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.where(intersects(F.col("ring_a"), F.col("ring_b"))).select(F.col("a").alias("county_id"), F.col("b").alias("other_id"))
 
 
-OVERLAPPING_SQL = statement(f"""
-    WITH {_rings()},
-    crossing AS (SELECT DISTINCT p.county_id AS a, q.county_id AS b FROM edge p JOIN edge q ON p.county_id < q.county_id
+CROSSING = """    crossing AS (SELECT DISTINCT p.county_id AS a, q.county_id AS b FROM edge p JOIN edge q ON p.county_id < q.county_id
         AND ((p.x2 - p.x1) * (q.y1 - p.y1) - (p.y2 - p.y1) * (q.x1 - p.x1)) * ((p.x2 - p.x1) * (q.y2 - p.y1) - (p.y2 - p.y1) * (q.x2 - p.x1)) < 0
         AND ((q.x2 - q.x1) * (p.y1 - q.y1) - (q.y2 - q.y1) * (p.x1 - q.x1)) * ((q.x2 - q.x1) * (p.y2 - q.y1) - (q.y2 - q.y1) * (p.x2 - q.x1)) < 0),
-    within AS (SELECT p.county_id AS a, e.county_id AS b FROM pt p JOIN edge e ON p.i = 0 AND e.county_id <> p.county_id AND (e.y1 > p.y) <> (e.y2 > p.y) AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)
-    SELECT a AS county_id, b AS other_id FROM crossing UNION SELECT least(a, b), greatest(a, b) FROM within""", Oracle)
+    within AS (SELECT p.county_id AS a, e.county_id AS b FROM pt p JOIN edge e ON p.i = 0 AND e.county_id <> p.county_id AND (e.y1 > p.y) <> (e.y2 > p.y) AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)"""
+OVERLAPPING = """SELECT a AS county_id, b AS other_id FROM crossing UNION SELECT least(a, b), greatest(a, b) FROM within"""
+OVERLAPPING_SQL = statement(f"WITH {_rings()},\n{CROSSING}\n{OVERLAPPING}", Oracle)
+
+
+def nearest_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve nearest other counties of each by the distance of their boundaries."""
+    shapes = read_shapes(_boundaries(spark, sf_dir)).select(F.col("county_id").alias("id"), "edges")
+    return k_nearest(shapes, 12, 1.0).select(F.col("id").alias("county_id"), "other_id", F.round("distance", 6).alias("distance"), "place")
 
-QUERIES = {"geo_boundaries": (boundaries, BOUNDARIES_SQL), "geo_located": (located, LOCATED_SQL), "geo_overlapping": (overlapping, OVERLAPPING_SQL)}
+
+def _gap(p: str, end: int, q: str) -> str:
+    """Squared distance of an end of one edge and another edge, along the part of it that is nearest."""
+    x, y, dx, dy = f"{p}.x{end}", f"{p}.y{end}", f"({q}.x2 - {q}.x1)", f"({q}.y2 - {q}.y1)"
+    t = f"least(1.0, greatest(0.0, (({x} - {q}.x1) * {dx} + ({y} - {q}.y1) * {dy}) / ({dx} * {dx} + {dy} * {dy})))"
+    return f"power({x} - {q}.x1 - {t} * {dx}, 2) + power({y} - {q}.y1 - {t} * {dy}, 2)"
+
+
+NEAREST_SQL = statement(f"""
+    WITH {_rings()},
+{CROSSING},
+    overlap AS ({OVERLAPPING}),
+    gap AS (SELECT p.county_id AS a, q.county_id AS b, sqrt(min(least({_gap('p', 1, 'q')}, {_gap('p', 2, 'q')}, {_gap('q', 1, 'p')}, {_gap('q', 2, 'p')}))) AS d FROM edge p JOIN edge q ON p.county_id <> q.county_id GROUP BY 1, 2),
+    r AS (SELECT g.a, g.b, CASE WHEN o.county_id IS NULL THEN round(g.d, 9) ELSE 0.0 END AS d FROM gap g LEFT JOIN overlap o ON o.county_id = least(g.a, g.b) AND o.other_id = greatest(g.a, g.b)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS place FROM r)
+    SELECT a AS county_id, b AS other_id, round(d, 6) AS distance, CAST(place AS INT) AS place FROM n WHERE place <= 12""", Oracle)
+
+QUERIES = {"geo_nearest_boundaries": (nearest_boundaries, NEAREST_SQL), "geo_boundaries": (boundaries, BOUNDARIES_SQL), "geo_located": (located, LOCATED_SQL), "geo_overlapping": (overlapping, OVERLAPPING_SQL)}
