@@ -32,12 +32,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
-from collections import Counter
 from dataclasses import dataclass
-from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,28 +54,37 @@ ROUNDS, STEP, BATCH = 3, 0.5, 32768
 BLOCK = 1024
 BOUND = np.float32(40)
 BATCH_CHARS = 1 << 21
-COUNTED_AT_ONCE = 1 << 18
-END = b""
+COUNTED_CHARS = 1 << 23
+#: choices whose shares are made at once, so that they stay in a core's cache
+PIECE = 4096
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased, and the end."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words with A-Z lower-cased, an end (no bytes) behind those of each text; and how many tokens each text has."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # split at the blank behind its last word, a text leaves an empty string there; an empty text is that string
+    closed = pc.if_else(pc.equal(pc.binary_length(trimmed), 0), trimmed, pc.binary_join_element_wise(trimmed, "", " "))
+    words = pc.ascii_split_whitespace(closed)
+    return words.flatten().cast(pa.binary()), pc.list_value_length(words).to_numpy().astype(np.int64)
 
 
-def _counts(batches):
-    counts: Counter = Counter()
+def _cut(texts: pa.Array, chars: int):
+    """(start, stop) of runs of texts with about so many characters."""
+    return slices(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), chars)
 
-    def emit():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
+def _counts(batches):
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(tokens(text))
-            if len(counts) > COUNTED_AT_ONCE:
-                yield emit()
-                counts.clear()
-    yield emit()
+        texts = batch.column(0)
+        for lo, hi in _cut(texts, COUNTED_CHARS):
+            found = tokens(texts.slice(lo, hi - lo))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
+
+
+def _put(rows: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """``rows[at] = values``, a row as one item."""
+    item = f"V{rows.itemsize * BRANCH}"
+    np.put(rows.view(item), at, np.ascontiguousarray(values).view(item))
 
 
 @dataclass
@@ -91,19 +99,19 @@ class Vocabulary:
     def __post_init__(self):
         self.rest_total = self.total - int(self.count.sum())
         self.rest_distinct = self.distinct - len(self.count)
+        self.listed = pa.array(sorted(self.rank, key=self.rank.get), pa.binary())
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
+    def ids(self, words: pa.Array) -> np.ndarray:
         """Rank of each token; a word without one gets minus one minus its hash."""
-        ids = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
+        ids = pc.fill_null(pc.index_in(words, value_set=self.listed), -1).to_numpy().astype(np.int64)
         beyond = np.flatnonzero(ids < 0)
         if len(beyond):
-            ids[beyond] = [self._beyond(words[k]) for k in beyond.tolist()]
+            rest = words.take(pa.array(beyond)).to_numpy(zero_copy_only=False).tolist()
+            ids[beyond] = -1 - np.fromiter(map(zlib.crc32, rest), np.int64, len(rest)) % HASHED
+            for k in np.flatnonzero(np.fromiter(map(len, rest), np.int64, len(rest)) > HOT_BYTES).tolist():
+                ids[beyond[k]] = self.rank.get(_digest(rest[k]), ids[beyond[k]])
         return ids
 
-    def _beyond(self, word: bytes) -> int:
-        found = self.rank.get(_digest(word)) if len(word) > HOT_BYTES else None
-        return -1 - zlib.crc32(word) % HASHED if found is None else found
-
 
 def _digest(word: bytes) -> bytes:
     """What stands for a long word in the list; no word has a blank."""
@@ -167,15 +175,18 @@ class Model:
         n = node.astype(np.uint32) * np.uint32(0x165667B1)
         return [((c ^ n) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.uint16) for c in contexts]
 
-    def shares(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        """Probability of each way."""
-        x = self.tree.bias.take(node, axis=0)
-        for table, r in zip(self.tables, rows, strict=False):
-            x += table.take(r, axis=0)
-        np.clip(x, -BOUND, BOUND, out=x)
-        np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
-        return x
+    def shares(self, node: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """What each way has, and the sum over the ways of a choice: their quotient is the probability of a way."""
+        out, total = np.empty((len(node), BRANCH), dtype=np.float32), np.empty(len(node), dtype=np.float32)
+        for lo in range(0, len(node), PIECE):
+            x, cut = out[lo : lo + PIECE], slice(lo, lo + PIECE)
+            np.add(self.tree.bias.take(node[cut], axis=0), self.tables[0].take(rows[0][cut], axis=0), out=x)
+            for table, r in zip(self.tables[1:], rows[1:], strict=False):
+                x += table.take(r[cut], axis=0)
+            np.clip(x, -BOUND, BOUND, out=x)
+            np.exp(x, out=x)
+            np.einsum("ij->i", x, out=total[cut])
+        return out, total
 
     def levels(self, leaf: np.ndarray, contexts: list[np.ndarray]):
         """(tokens, nodes, ways, feature rows) of the choices of each depth."""
@@ -197,32 +208,38 @@ class Model:
         for lo in range(0, len(leaf), BATCH):
             cut = slice(lo, lo + BATCH)
             for live, node, way, rows in self.levels(leaf[cut], self.contexts(one[cut], two[cut])):
-                out[lo + live] += np.log(self.shares(node, rows)[np.arange(len(live)), way])
+                each, total = self.shares(node, rows)
+                out[lo + live] += np.log(each[np.arange(len(live)), way] / total)
         return out
 
     def learn(self, leaf: np.ndarray, one: np.ndarray, two: np.ndarray, sums: list[np.ndarray]) -> None:
         """One step on a minibatch; ``sums`` holds the squared gradients of each row."""
         for live, node, way, rows in self.levels(leaf, self.contexts(one, two)):
-            g = self.shares(node, rows)
+            g, whole = self.shares(node, rows)
+            g /= whole[:, None]
             g[np.arange(len(live)), way] -= 1
             for table, total, r in zip(self.tables, sums, rows, strict=False):
                 order = np.argsort(r, kind="stable")
                 inside = r.take(order)
                 start = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
-                # as complex numbers, two columns are added at once
-                step = np.add.reduceat(g.take(order, axis=0).view(np.complex64), start, axis=0).view(np.float32)
+                size = np.diff(start, append=len(order))
+                step = g.take(order.take(start), axis=0)
+                several = np.flatnonzero(size > 1)  # most rows are met once, and have their sum already
+                if len(several):
+                    inner = order[np.repeat(size > 1, size)]
+                    # as complex numbers, two columns are added at once
+                    _put(step, several, np.add.reduceat(g.take(inner, axis=0).view(np.complex64), np.cumsum(size[several]) - size[several], axis=0).view(np.float32))
                 at = inside.take(start)
                 so_far = total.take(at) + np.einsum("ij,ij->i", step, step)
                 total[at] = so_far
                 step *= (STEP / np.sqrt(so_far + np.float32(1e-2)))[:, None]
-                table[at] = table.take(at, axis=0) - step
+                _put(table, at, table.take(at, axis=0) - step)
 
 
-def _positions(vocabulary: Vocabulary, texts: list):
+def _positions(vocabulary: Vocabulary, texts: pa.Array):
     """Words, sizes of the texts, ids, leaves, and what stands for the word before and the second before each token."""
-    words = [tokens(t) for t in texts]
-    sizes = np.array([len(w) for w in words])
-    ids = vocabulary.ids(list(chain.from_iterable(words)))
+    words, sizes = tokens(texts)
+    ids = vocabulary.ids(words)
     known = np.where(ids < 0, HOT_WORDS - ids, ids)
     place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
@@ -239,9 +256,9 @@ def _steps(batches, vocabulary: Vocabulary, tree: Tree, tables: list[np.ndarray]
     model = Model(tree, [t.copy() for t in tables])
     sums = [np.zeros(ROWS, dtype=np.float32) for _ in tables]
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for lo, hi in slices([len(t or "") for t in texts], BATCH_CHARS):
-            _, _, _, leaf, one, two = _positions(vocabulary, texts[lo:hi])
+        texts = batch.column(0)
+        for lo, hi in _cut(texts, BATCH_CHARS):
+            _, _, _, leaf, one, two = _positions(vocabulary, texts.slice(lo, hi - lo))
             for s in range(0, len(leaf), BATCH):
                 model.learn(*(x[s : s + BATCH] for x in (leaf, one, two)), sums)
     parts = [(k, lo) for k in range(FEATURES) for lo in range(0, ROWS, BLOCK) if sums[k][lo : lo + BLOCK].any()]
@@ -283,28 +300,35 @@ def train(docs: DataFrame, vocabulary: Vocabulary, *, rounds: int = ROUNDS) -> M
     return model
 
 
+def _rare(words: pa.Array, beyond: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The distinct words beyond the list of each text, with their occurrences there."""
+    found = words.filter(pa.array(beyond)).dictionary_encode()
+    distinct = max(1, len(found.dictionary))
+    pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[beyond] * distinct + found.indices.to_numpy(), return_counts=True)
+    offsets = np.searchsorted(pairs, np.arange(len(sizes) + 1) * distinct)
+    met = pa.StructArray.from_arrays([found.dictionary.take(pa.array(pairs % distinct)), pa.array(times, pa.int64())], names=["w", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), met)
+
+
 def _scored(batches, vocabulary: Vocabulary, tree: Tree, tables: list[np.ndarray]):
     model = Model(tree, tables)
     count = np.log10(vocabulary.count + 1.0)
     blank = not vocabulary.total
     log_rest = np.log10(max(1, vocabulary.rest_total + vocabulary.rest_distinct + 1))
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for lo, hi in slices([len(t or "") for t in texts], BATCH_CHARS):
-            words, sizes, ids, leaf, one, two = _positions(vocabulary, texts[lo:hi])
+        texts = batch.column(2)
+        for lo, hi in _cut(texts, BATCH_CHARS):
+            words, sizes, ids, leaf, one, two = _positions(vocabulary, texts.slice(lo, hi - lo))
             p = np.zeros(len(ids)) if blank else model.log_probability(leaf, one, two) / np.log(10)
             hot = ids >= 0
             base = np.where(hot, count[np.maximum(ids, 0)] if len(count) else 0.0, 0.0)
             p += np.where(hot, 0.0, -log_rest)
             start = np.cumsum(sizes) - sizes
-            rare: list[list[dict]] = []
-            beyond = (~hot).tolist()
-            for ws, s in zip(words, start.tolist(), strict=True):
-                rare.append([{"w": w, "n": n} for w, n in Counter(compress(ws, beyond[s : s + len(ws)])).items()])
+            rare = _rare(words, ~hot, sizes)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(hot.astype(np.int64), start), pa.int64()),
-                    pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(p, start)), pa.array(rare, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))),
+                    pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(p, start)), rare,
                 ],
                 names=["id", "held_out", "n_tokens", "known", "base", "model", "rare"],
             )

@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -375,6 +377,66 @@ def test_lm_trains_on_every_document_and_every_frequent_word(spark):
         assert gain(2000) > 0.01 > gain(2500)
 
 
+def test_lm_tokens_and_ids_by_plain_python():
+    rng = np.random.default_rng(1)
+    chars = list("abAZ  \t\n\x0b\x0c\r\x1c\x85\xa0É\u2003😀")
+    texts = [None, "", " ", "\n \t", "end", "x" * 65 + " " + "y" * 70, *("".join(rng.choice(chars, size=k)) for k in range(60))] * 2
+    want = [[*(t or "").encode().lower().split(), b""] for t in texts]
+    words, sizes = maxent_lm.tokens(pa.array(texts).slice(3))
+    assert sizes.tolist() == [len(w) for w in want[3:]] and words.to_pylist() == [w for ws in want[3:] for w in ws]
+    listed_words = [b"", b"a", b" " + hashlib.sha256(b"y" * 70).digest(), *(w for w, n in collections.Counter(w for ws in want for w in ws).items() if n == 2 and b"z" in w and len(w) < 65)]
+    voc = maxent_lm.Vocabulary({w: k for k, w in enumerate(listed_words)}, np.ones(len(listed_words), dtype=np.int64), 999, 99)
+    rank = lambda w: voc.rank.get(w, voc.rank.get(b" " + hashlib.sha256(w).digest(), -1 - zlib.crc32(w) % maxent_lm.HASHED))
+    assert voc.ids(words).tolist() == [rank(w) for ws in want[3:] for w in ws]
+    rare = maxent_lm._rare(words, voc.ids(words) < 0, sizes).to_pylist()
+    assert [{r["w"]: r["n"] for r in rs} for rs in rare] == [collections.Counter(w for w in ws if rank(w) < 0) for ws in want[3:]]
+    assert all(len({r["w"] for r in rs}) == len(rs) for rs in rare)
+
+
+def test_lm_step_by_brute_force():
+    rng = np.random.default_rng(2)
+    model = maxent_lm.Model(maxent_lm.Tree(listed(40, 5000, 90)))
+    n = 6000  # more than one piece
+    leaf, one, two = rng.integers(0, 41, n), rng.integers(0, 3000, n) ** 2 // 3000, rng.integers(0, 9, n)
+    levels = list(model.levels(leaf, model.contexts(one, two)))
+    want, sums = [], []
+    for k in range(maxent_lm.FEATURES):
+        table, seen = np.zeros((maxent_lm.ROWS, maxent_lm.BRANCH)), np.zeros(maxent_lm.ROWS)
+        want.append(table), sums.append(seen)
+    for live, node, way, rows in levels:
+        x = model.tree.bias[node] + sum(t[r] for t, r in zip(want, rows))
+        g = np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+        g[np.arange(len(live)), way] -= 1
+        for table, seen, r in zip(want, sums, rows):
+            step = np.zeros_like(table)
+            np.add.at(step, r, g)
+            seen += (step**2).sum(axis=1)
+            table -= step * (maxent_lm.STEP / np.sqrt(seen + 1e-2))[:, None]
+    got = [np.zeros(maxent_lm.ROWS, dtype=np.float32) for _ in want]
+    model.learn(leaf, one, two, got)
+    assert all(np.allclose(a, b, atol=2e-3) for a, b in zip(model.tables, want)) and all(np.allclose(a, b, rtol=1e-3, atol=1e-3) for a, b in zip(got, sums))
+
+
+def test_lm_looks_words_up_in_less_time_than_plain_python():
+    rng = np.random.default_rng(3)
+    names = [f"word{k}" for k in range(60_000)]
+    texts = [" ".join(names[k] for k in rng.zipf(1.2, 400) % 70_000 if k < 60_000) for _ in range(1500)]
+    voc = maxent_lm.Vocabulary({w.encode(): k for k, w in enumerate(names)}, np.arange(60_000, 0, -1), 5_000_000_000, 90_000)
+    column = pa.array(texts)
+
+    def seconds(run):
+        took = []
+        for _ in range(5):
+            begun = time.process_time()
+            run()
+            took.append(time.process_time() - begun)
+        return min(took)
+
+    plain = seconds(lambda: [voc.rank.get(w, -1) for t in column.to_pylist() for w in [*t.encode().lower().split(), b""]])
+    assert seconds(lambda: maxent_lm._positions(voc, column)) < plain
+    assert seconds(lambda: list(maxent_lm._counts([pa.RecordBatch.from_arrays([column], names=["text"])]))) < plain
+
+
 def test_lm_gain_on_held_out_tokens(spark):
     got = maxent_lm.score(table(spark, "/root/testdata/sf0.01", "documents")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert (got[0] - got[1]) / got[2] > 0.08
