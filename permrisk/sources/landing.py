@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permrisk.functions.contract import errors
+from permrisk.functions.contract import bound, errors
 from permrisk.functions.text import folded
 from permrisk.sources.scratch import fresh
 
@@ -52,15 +52,17 @@ def judged(answers: DataFrame, schema: dict) -> DataFrame:
     """
     read = F.try_parse_json("answer")
     told = answers.where("answer IS NOT NULL").select("document_id", "county_id", folded(F.col("text")).alias("text"), read.alias("v"))
-    # the messages are written out before they are asked about, so each rule is evaluated once
-    told = told.withColumn("problems", F.when(F.col("v").isNull(), F.array(F.lit("$: not JSON"))).otherwise(errors(F.col("v"), schema)))
-    broken = told.where(F.size("problems") > 0).select("document_id", "county_id", F.lit(0).alias("position"), F.lit("schema_violation").alias("status"), "problems", F.lit(None).cast("variant").alias("item"))
-    items = told.where(F.size("problems") == 0).select("document_id", "county_id", "text", F.posexplode(F.try_variant_get("v", "$.items", "array<variant>")).alias("position", "item"))
+    # one list an answer, made once: a condition on the messages, or a second branch, would evaluate every rule again
+    entry = lambda position, problems, item: F.struct(position.cast("int").alias("position"), problems.alias("problems"), item.alias("item"))
+    problems = F.when(F.col("v").isNull(), F.array(F.lit("$: not JSON"))).otherwise(errors(F.col("v"), schema))
+    items = F.transform(F.try_variant_get("v", "$.items", "array<variant>"), lambda item, k: entry(k, F.array().cast("array<string>"), item))
+    entries = bound(problems, lambda p: F.when(F.size(p) > 0, F.array(entry(F.lit(0), p, F.lit(None).cast("variant")))).otherwise(items))
+    told = told.select("document_id", "county_id", "text", F.explode_outer(entries).alias("e")).where("e IS NOT NULL").select("document_id", "county_id", "text", "e.*")
     quotes = F.try_variant_get("item", "$.evidence", "array<struct<page:bigint,quote:string>>")
     lost = F.exists(quotes, lambda q: ~F.contains(F.col("text"), folded(q.quote)))
     sure, use = F.try_variant_get("item", "$.confidence", "double"), F.try_variant_get("item", "$.use_class", "string")
     status = F.when(F.coalesce(lost, F.lit(True)), "quote_failed").when(sure < REVIEW, "review").when(use.isNull(), "event_only").otherwise("landed")
-    return broken.unionByName(items.select("document_id", "county_id", "position", status.alias("status"), F.array().cast("array<string>").alias("problems"), "item"))
+    return told.select("document_id", "county_id", "position", F.when(F.size("problems") > 0, "schema_violation").otherwise(status).alias("status"), "problems", "item")
 
 
 def _member(name: str, kind: str = "string") -> Column:

@@ -106,3 +106,10 @@ def test_a_batch_that_broke_off_is_landed_again(spark, monkeypatch):
     monkeypatch.setattr(landing, "_replaced", own)
     landing.land(batch, SCHEMA, store)
     assert state(spark, store) == state(spark, whole)
+
+
+def test_rules_are_written_out_once(spark):
+    """Each value stands in the expression once, and the plan evaluates the rules in one place."""
+    assert len(str(contract.errors(F.col("v"), SCHEMA))) < 100_000
+    plan = landing.judged(answers(spark, [("a", 1, TEXT, [ITEM])]), SCHEMA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.items[].acres: not above 0") == 1
