@@ -47,6 +47,31 @@ def delivery_queue(d):
     SELECT subscriber_id, watch_id, trigger_kind, subject_id, CAST(place AS INT) AS place FROM ranked WHERE place <= 20"""
 
 
+def _alerts(d):
+    """As :func:`alerts`: a watch is one row, so changes that differ make alerts that differ, and only the changes need to be told apart, not the alerts.
+
+    Changes are few and their alerts many, so Spark is asked not to merge them into a task or two.
+    """
+    return f"""
+    WITH {_detected(d).strip()},
+    told AS (SELECT /*+ REPARTITION(256, county_id, trigger_kind, subject_id) */ DISTINCT county_id, trigger_kind, subject_id FROM found),
+    sites AS (SELECT subscriber_id, count(*) AS sites FROM watch GROUP BY subscriber_id),
+    held AS (SELECT w.watch_id, w.subscriber_id, w.county_id, s.sites FROM watch w JOIN sites s ON s.subscriber_id = w.subscriber_id),
+    priced AS (SELECT h.watch_id, h.subscriber_id, f.county_id, f.trigger_kind, f.subject_id, least(1.0, {BASE} + CASE WHEN h.sites > 1 THEN least(h.sites / 20.0, 0.10) ELSE 0.0 END) AS materiality FROM told f JOIN held h ON h.county_id = f.county_id)
+    SELECT watch_id, subscriber_id, county_id, trigger_kind, subject_id, round(materiality, 6) AS materiality, materiality < 0.35 AS suppressed FROM priced"""
+
+
+def _delivery_queue(d):
+    """As :func:`delivery_queue`: of one watch, none but the first twenty changes of its county can be among a subscriber's first twenty."""
+    return f"""
+    WITH {_detected(d).strip()},
+    told AS (SELECT DISTINCT county_id, trigger_kind, subject_id, {BASE} AS materiality, subject_id % 7 AS attempts FROM found),
+    first_of AS (SELECT *, row_number() OVER (PARTITION BY county_id ORDER BY materiality DESC, subject_id, trigger_kind) AS i FROM told WHERE attempts < 5 AND materiality >= 0.35),
+    due AS (SELECT w.subscriber_id, w.watch_id, f.trigger_kind, f.subject_id, f.materiality FROM first_of f JOIN watch w ON w.county_id = f.county_id WHERE f.i <= 20),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY subscriber_id ORDER BY materiality DESC, subject_id, watch_id, trigger_kind) AS place FROM due)
+    SELECT subscriber_id, watch_id, trigger_kind, subject_id, CAST(place AS INT) AS place FROM ranked WHERE place <= 20"""
+
+
 def delivery_health(d):
     age = d.seconds("TIMESTAMP '2024-02-03 00:00:00'", "known_from")
     return f"""
@@ -92,3 +117,5 @@ def stale_features(d):
 
 
 QUERIES = {f"monitor_{f.__name__}": query(f) for f in (detect_changes, alerts, delivery_queue, delivery_health, dead_letters, attempt_counters, verification_rate, event_log, stale_features)}
+# the oracles keep the plain statements
+QUERIES |= {"monitor_alerts": (query(_alerts)[0], query(alerts)[1]), "monitor_delivery_queue": (query(_delivery_queue)[0], query(delivery_queue)[1])}
